@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding
+from . import exact_dedup, mixing, packing, sharding, simhash
 
 
 def queries() -> dict:
-    return {"op1_sharding": sharding.query, "op3_exact_dedup": exact_dedup.query}
+    return {
+        "op1_sharding": sharding.query,
+        "op3_exact_dedup": exact_dedup.query,
+        "op4_simhash": simhash.query,
+        "op7_packing": packing.query,
+        "op9_mixing": mixing.query,
+    }
 
 
 def oracle_sql() -> dict:
