@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, sharding, simhash
+from . import chat, exact_dedup, mixing, packing, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op1_sharding": sharding.query,
+        "op2_chat": chat.query,
         "op3_exact_dedup": exact_dedup.query,
         "op4_simhash": simhash.query,
         "op7_packing": packing.query,
@@ -16,4 +17,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_chat": chat.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE}
