@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, packing, sharding, simhash
+from . import chat, exact_dedup, mixing, packing, sharding, simhash, warc
 
 
 def queries() -> dict:
@@ -13,8 +13,9 @@ def queries() -> dict:
         "op4_simhash": simhash.query,
         "op7_packing": packing.query,
         "op9_mixing": mixing.query,
+        "op10_warc": warc.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_chat": chat.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_chat": chat.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op10_warc": warc.ORACLE}
