@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, html_extract, mixing, packing, sharding, simhash, warc
+from . import chat, exact_dedup, html_extract, mixing, packing, quality, sharding, simhash, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_chat": chat.query,
         "op3_exact_dedup": exact_dedup.query,
         "op4_simhash": simhash.query,
+        "op5_quality": quality.query,
         "op7_packing": packing.query,
         "op8_html": html_extract.query,
         "op9_mixing": mixing.query,
