@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, html_extract, mixing, packing, quality, sharding, simhash, warc
+from . import chat, exact_dedup, html_extract, mixing, packing, pii, quality, sharding, simhash, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_exact_dedup": exact_dedup.query,
         "op4_simhash": simhash.query,
         "op5_quality": quality.query,
+        "op6_pii": pii.query,
         "op7_packing": packing.query,
         "op8_html": html_extract.query,
         "op9_mixing": mixing.query,
