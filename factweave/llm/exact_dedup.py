@@ -148,7 +148,8 @@ def distinct_contents(docs: DataFrame, text: str = "text", key: str = "doc_id",
                     left.append(i)
             if left:
                 rest = batch.take(pa.array(left, pa.int64()))
-                yield rest.set_column(arrow.get_field_index(over), over, pa.array([True] * len(left), pa.bool_()))
+                flags = pa.array([True] * len(left), pa.bool_())
+                yield pa.RecordBatch.from_arrays([flags if name == over else c for name, c in zip(names, rest.columns)], schema=arrow)
         for start in range(0, len(best), 2000):
             some = best[start : start + 2000]
             yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in some], f.type) for f in arrow], schema=arrow)
