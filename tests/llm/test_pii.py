@@ -1,0 +1,77 @@
+import hashlib
+import re
+
+from factweave.llm import pii
+
+# The four patterns as the contract gives them.
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+TEXTS = [
+    "a@b.c_d@e.f x@y 1.2.3.4.5.6.7.8 999.1.1.1 4111-1111 1111 1111 +1 (555) 123-4567- 😀 a@b.co",
+    "_" * 5000 + "@x.y",
+    "1" * 30_000,
+    "1-" * 20_000 + "1",
+    None,
+    "",
+    "4111111111111111@a.b 1.2.3.256 0001.002.3.4 00000000000000000000000255.1.1.1",
+    "+1 " * 3000,
+    "a." * 20_000,
+    "+1+22222222 +(12345678 +12345678",
+    "x" * 70 + "\n me@there.org\t10.0.0.1",
+]
+
+
+def passes(kind, value):
+    digits = re.sub("[^0-9]", "", value)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in value.split("."))
+    if kind == "card":
+        return 16 <= len(digits) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+    return 8 <= len(digits) <= 15 if kind == "phone" else True
+
+
+def expected(text):
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if passes(k, m[0])]
+
+
+def test_base_spans_are_those_of_the_contract(spark, tmp_path):
+    rows = [(i, t, "spans") for i, t in enumerate(TEXTS)] + [(None, TEXTS[0], None), (0, TEXTS[0], "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, spans string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256, r.spans) for r in pii.query(spark, str(tmp_path)).collect()), key=repr)
+    want = []
+    for i, t, _ in rows:
+        base = expected(t)
+        want.append((i, *(sum(b.startswith(k) for b in base) for k in PATTERNS), hashlib.sha256(",".join(base).encode()).hexdigest(), ",".join(base)))
+    assert got == sorted(want, key=repr)
+
+
+def test_contexts_of_seeds_discover_unseen_identifiers(spark):
+    rows = [(i, f"doc {i} contact phone number: +1 ({i % 10}12) 555-{1000 + i} thanks") for i in range(30)]
+    rows += [(100 + i, f"hi contact phone number: 0044-{7000 + i}-99 thanks") for i in range(4)]
+    rows += [(200, "order 123456 shipped"), (201, "the 99887766 cat"), (202, "again 0044-7001-99 elsewhere")] * 3
+    out = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[100 + i] == [("learned_phone", f"0044-{7000 + i}-99")] for i in range(4))
+    assert out[200] == out[201] == [] and out[202] == [("learned_phone", "0044-7001-99")]
+    assert out[3] == [("phone", "+1 (312) 555-1003")]
+
+
+def test_common_words_teach_nothing(spark):
+    rows = [(i, f"the 10.0.0.{i} and the {10_000 + i} or the {20_000 + i}A then the {30_000 + i}B") for i in range(50)]
+    out = pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all([s.kind for s in r.spans] == ["ip"] for r in out)
+
+
+def test_chains_of_patterns_take_rounds(spark):
+    rows = [(i, f"alpha beta 192.168.0.{i} x") for i in range(10)] + [(50 + i, f"alpha beta ID-{5000 + i} x") for i in range(5)]
+    rows += [(100 + i, f"gamma delta ID-{5000 + i} y") for i in range(5)] + [(150, "gamma delta ID-9999 y")]
+    found = pii.occurrences(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert {r.value for r in pii.bootstrap(found, rounds=1)[0].collect()} == {f"id-{5000 + i}" for i in range(5)}
+    assert "id-9999" in {r.value for r in pii.bootstrap(found, rounds=2)[0].collect()}
+
+
+def test_empty(spark):
+    assert pii.detect(spark.createDataFrame([], "doc_id long, text string")).count() == 0
