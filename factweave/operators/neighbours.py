@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalise, norm
+from ..sources.shared import written
 
 # Neighbours per claim and least cosine.
 TOP_K, MIN_SIMILARITY = 12, 0.72
@@ -88,7 +89,7 @@ def _lsh(units: DataFrame, scope: str, k: int, t: float, tables: int = 8, width:
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    rows = units.withColumn("vector", array_to_vector("v"))
+    rows = written(units, "lsh").withColumn("vector", array_to_vector("v"))
     model = BucketedRandomProjectionLSH(inputCol="vector", outputCol="buckets", bucketLength=width, numHashTables=tables, seed=7).fit(rows)
     near = model.approxSimilarityJoin(rows, rows, math.sqrt(max(0.0, 2 - 2 * t)) + 1e-9, "distance")
     a, b = F.col("datasetA"), F.col("datasetB")

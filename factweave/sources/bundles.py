@@ -49,7 +49,7 @@ def unpack_bundles(raw: DataFrame) -> DataFrame:
             for i in range(len(batch)):
                 row = batch.iloc[[i]]
                 files, pdf, error = unpack(bytes(row["content"].iloc[0] or b""))
-                yield row.drop(columns="content").assign(files=[list(files.items())], pdf_only=pdf, error=error)
+                yield row.drop(columns="content").assign(files=[files], pdf_only=pdf, error=error)
 
-    schema = raw.drop("content").withColumns({"files": F.lit(None).cast("map<string,string>"), "pdf_only": F.lit(False), "error": F.lit("")}).schema
+    schema = raw.drop("content").withColumns({"files": F.lit(None).cast("map<string,string>"), "pdf_only": F.lit(False), "error": F.lit(None).cast("string")}).schema
     return raw.select(*[c for c in raw.columns if c != "content"], "content").mapInPandas(work, schema)
