@@ -41,12 +41,12 @@ def type_compatible(pairs: DataFrame) -> DataFrame:
 
 
 def conflicts(pairs: DataFrame) -> DataFrame:
-    """pairs (ids unique) with `compared`, how many quantity pairs describe one measurement, and `best`.
+    """pairs (equal ids mean equal claims) with `compared`, how many quantity pairs describe one measurement, and `best`.
 
     best is the conflict with the largest relative difference; the first in (a, b) order wins ties.
     """
     kept = type_compatible(pairs).filter("survived_type_filter")
-    keyed = kept.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+    keyed = kept.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")).distinct()
     sides = kept.select(F.explode(F.array(F.struct("a.id", "a.quantities"), F.struct("b.id", "b.quantities"))).alias("s")).select("s.id", "s.quantities")
     claims = sides.groupBy("id").agg(F.first("quantities").alias("q")).select("id", F.posexplode("q").alias("pos", "q"))
     ready = prepare(claims, "q", "p")

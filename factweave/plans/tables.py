@@ -25,7 +25,7 @@ def line_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     system, dataset = F.col("p_name"), F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string"), F.lit(" test"))
     metrics = (("l_discount", "Discount"), ("l_tax", "Tax rate"), ("l_quantity", "Quantity"), ("l_extendedprice", "Price"))
     return rows.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "l_partkey", "l_suppkey", F.lit("NUMERIC").alias("claim_type"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "l_partkey", "l_suppkey", F.lit("NUMERIC").alias("claim_type"),
         F.array(*(quantity(F.col(c), F.lit(m), system, dataset) for c, m in metrics)).alias("quantities"),
     )
 
