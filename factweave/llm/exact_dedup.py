@@ -98,11 +98,12 @@ def _combine(table_: pa.Table, text: str, key: str, hash_: str, rank: str, count
     return out.set_column(out.schema.get_field_index(hash_), hash_, pa.array(digests, pa.binary()))
 
 
-def distinct_contents(docs: DataFrame, text: str = "text", key: str = "doc_id", table_bytes: int = TABLE_BYTES) -> tuple[DataFrame, str, str, str]:
+def distinct_contents(docs: DataFrame, text: str = "text", key: str = "doc_id", table_bytes: int = TABLE_BYTES, keep_text: bool = True) -> tuple[DataFrame, str, str, str]:
     """(rows that stay, and the names of the added columns digest, group size and code points).
 
     Rows are equal when their texts are identical without white space. Of equal rows the one with
-    the most code points stays, then the one with the smallest key.
+    the most code points stays, then the one with the smallest key. Without keep_text the text is
+    null in the result, once its bucket is done with it.
     """
     digest, size, points, over = (free_name(docs, x) for x in ("text_sha256", "group_size", "code_points", "overflow"))
     kind = docs.schema[text].dataType
@@ -151,7 +152,7 @@ def distinct_contents(docs: DataFrame, text: str = "text", key: str = "doc_id",
                 flags = pa.array([True] * len(left), pa.bool_())
                 yield pa.RecordBatch.from_arrays([flags if name == over else c for name, c in zip(names, rest.columns)], schema=arrow)
         for start in range(0, len(best), 2000):
-            some = best[start : start + 2000]
+            some = best[start : start + 2000] if keep_text else [r | {text: None} for r in best[start : start + 2000]]
             yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in some], f.type) for f in arrow], schema=arrow)
 
     rows = rows.mapInArrow(before_shuffle, schema)
@@ -174,7 +175,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
 def members(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per document: key, keep_id, group_size, kept, text_sha256."""
-    stay, digest, size, points = distinct_contents(docs.select(quoted(key), quoted(text)), text, key)
+    stay, digest, size, points = distinct_contents(docs.select(quoted(key), quoted(text)), text, key, keep_text=False)
     groups = stay.select(quoted(digest).alias("text_sha256"), quoted(key).alias("keep_id"), quoted(size).alias("group_size"), quoted(points).alias("best"))
     whole = F.coalesce(quoted(text), F.lit(""))
     narrow = docs.select(quoted(key), F.length(whole).alias("points"), F.sha2(F.translate(whole, SPACE, ""), 256).alias("text_sha256"))
