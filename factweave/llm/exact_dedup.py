@@ -5,7 +5,7 @@ shared folder are the spill files, so a lost executor costs a retry and nothing
 machine's disk. Each bucket streams through an open-addressing table that compares complete
 content. A table that is full admits no further content: known contents still find their entry,
 while the rest goes, with all its copies, to the next level, which partitions it by other bits of
-the hash. Every level is done when nothing is left over.
+the hash into as many buckets as its size needs. Every level is done when nothing is left over.
 
 Copies meet first within a map task, so a text that makes up a third of all rows reaches its bucket
 about once per map task, not once per row.
@@ -27,8 +27,9 @@ from pyspark.sql import types as T
 
 from .common import SPACE, free_name, materialize, quoted, table
 
-#: Bytes of text that the table of one task holds.
+#: Bytes that the table of one task holds, and what an entry takes besides its content.
 TABLE_BYTES = 96 << 20
+ENTRY_BYTES = 512
 MAP_BYTES = 32 << 20
 
 
@@ -55,7 +56,7 @@ class ContentTable:
         entry = self.slots[at] = len(self.contents)
         self.contents.append(content)
         self.hashes.append(hash_)
-        self.held += len(content)
+        self.held += len(content) + ENTRY_BYTES
         if 2 * len(self.contents) > len(self.slots):
             self.slots = [-1] * (2 * len(self.slots))
             mask = len(self.slots) - 1
@@ -142,7 +143,7 @@ def distinct_contents(docs: DataFrame, text: str = "text", key: str = "doc_id",
                     if _better((row[points], row[key]), (kept[points], kept[key])):
                         best[entry] = kept = row
                     kept[size] = total
-                elif not best or 2 * known.held + len(content) <= table_bytes:
+                elif not best or 2 * (known.held + len(content) + ENTRY_BYTES) <= table_bytes:
                     known.admit(content, h, at)
                     best.append(row)
                 else:
@@ -156,14 +157,18 @@ def distinct_contents(docs: DataFrame, text: str = "text", key: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in some], f.type) for f in arrow], schema=arrow)
 
     rows = rows.mapInArrow(before_shuffle, schema)
-    done, level = None, 0
+    done, level, fan_out = None, 0, ()
     while True:
-        out = materialize(rows.repartition(F.xxhash64(quoted(digest), F.lit(level))).mapInArrow(bucket, schema), "dedup-level")
+        out = materialize(rows.repartition(*fan_out, F.xxhash64(quoted(digest), F.lit(level))).mapInArrow(bucket, schema), "dedup-level")
         done = out if done is None else done.filter(~quoted(over)).unionByName(out)
         rows = out.filter(quoted(over)).withColumn(over, F.lit(False))
         level += 1
-        if rows.isEmpty():
+        n, bytes_ = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length(quoted(text)))).first()
+        if not n:
             break
+        # so many buckets that each fills a table by half: two or three levels do at any size
+        need = 2 * ((bytes_ or 0) + n * ENTRY_BYTES)
+        fan_out = (max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * need // table_bytes)),)
     stay = done.filter(~quoted(over)).withColumns({text: quoted(text).cast(kind), digest: F.lower(F.hex(quoted(digest)))}).drop(over)
     return stay, digest, size, points
 

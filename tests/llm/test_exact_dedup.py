@@ -32,6 +32,23 @@ def test_a_small_table_spills_and_recurses_without_loss(spark):
     assert got == {sha: (keep, n) for _, keep, n, _, sha in expected(rows)}
 
 
+def test_short_texts_count_with_what_their_entries_take():
+    table = exact_dedup.ContentTable()
+    for i in range(100):
+        table.admit(b"", i, table.find(b"%d" % i, i)[1])
+    assert table.held == 100 * exact_dedup.ENTRY_BYTES
+
+
+def test_levels_get_the_buckets_that_their_size_needs(spark, monkeypatch):
+    levels, write = [], exact_dedup.materialize
+    monkeypatch.setattr(exact_dedup, "materialize", lambda df, label: levels.append(label) or write(df, label))
+    rows = [(i, f"text {i % 3000}") for i in range(3300)]
+    stay, _, size, _ = exact_dedup.distinct_contents(spark.createDataFrame(rows, "doc_id long, text string"), table_bytes=200_000)
+    got = {r["doc_id"]: (r["text"], r[size]) for r in stay.collect()}
+    assert got == {i: (f"text {i}", 2 if i < 300 else 1) for i in range(3000)}
+    assert len(levels) <= 3
+
+
 def test_deduplicate_keeps_whole_rows_and_clashing_columns(spark):
     rows = [(1, "a b", "x", 1.5), (2, "a  b", "y", 2.5), (2, "a  b", "y", 2.5), (3, None, None, None), (4, " ", "z", 0.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, text_sha256 string, group_size double")
