@@ -30,6 +30,8 @@ from .common import SPACE, free_name, materialize, quoted, table
 #: Bytes that the table of one task holds, and what an entry takes besides its content.
 TABLE_BYTES = 96 << 20
 ENTRY_BYTES = 512
+#: Most buckets of a level after the first, as a shuffle can't have any number; what they can't hold recurses.
+MAX_BUCKETS = 1 << 16
 MAP_BYTES = 32 << 20
 
 
@@ -166,9 +168,9 @@ def distinct_contents(docs: DataFrame, text: str = "text", key: str = "doc_id",
         n, bytes_ = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length(quoted(text)))).first()
         if not n:
             break
-        # so many buckets that each fills a table by half: two or three levels do at any size
+        # so many buckets that each fills a table by half
         need = 2 * ((bytes_ or 0) + n * ENTRY_BYTES)
-        fan_out = (max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * need // table_bytes)),)
+        fan_out = (min(MAX_BUCKETS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * need // table_bytes))),)
     stay = done.filter(~quoted(over)).withColumns({text: quoted(text).cast(kind), digest: F.lower(F.hex(quoted(digest)))}).drop(over)
     return stay, digest, size, points
 
