@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import exact_dedup, mixing, packing, quality, simhash
+from factweave.llm import exact_dedup, mixing, packing, quality, similar
 from factweave.llm.common import materialize, table
 
 
@@ -19,8 +19,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each component of close fingerprints."""
-    return simhash.one_of_each(docs)
+    """Keeps the smallest doc_id of each component of texts that share 0.8 of their five-word shingles."""
+    return similar.one_of_each(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
