@@ -78,8 +78,8 @@ def run_detection(claims: DataFrame, scope: str, config: Config, store: keyed.St
     if store is not None:
         store.swap(f"candidate_pairs_{scope}", pairs)
         store.swap(f"findings_{scope}", found.drop("a", "b", "quantity_a", "quantity_b"))
-    top = found.orderBy(F.col("confidence").desc(), "id").select("conflict_type", "confidence", "rationale", "detector", "a", "b").limit(200)
-    return [r.asDict(recursive=True) for r in top.collect()], stats.first().asDict()
+    top = found.orderBy(F.col("confidence").desc(), "id").select("conflict_type", "confidence", "rationale", "detector", "a", "b")
+    return [r.asDict(recursive=True) for r in top.toLocalIterator()], stats.first().asDict()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -142,7 +142,7 @@ def execute(spark: SparkSession, args: argparse.Namespace, config: Config) -> st
         if wanted and None in wanted:
             raise ValueError(f"not a paper id: {args.targets[wanted.index(None)]}")
         members = detect.corpus(store.read("claims", schema("claims")), documents, wanted)
-        found, stats = run_detection(members, "cross" if args.command == "corpus" else "intra", config, store if args.command == "detect" and not wanted else None)
+        found, stats = run_detection(members, "cross" if args.command == "corpus" else "intra", config, None if args.command == "detect" and wanted else store)
     if args.json:
         return json.dumps({"findings": found, "stats": stats}, indent=2, default=str)
     return f"{report.findings_text(found)}\n\n{report.stats_text(stats)}"
