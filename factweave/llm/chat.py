@@ -20,12 +20,13 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, quoted, table
+from .common import free_name, let, quoted, running_starts, table
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
@@ -47,9 +48,17 @@ def fingerprint_of(schema: T.StructType) -> str:
     return hashlib.sha256(_layout(schema).encode()).hexdigest()[:16]
 
 
+def skeleton(record: Column) -> Column:
+    """A JSON record without the contents of its strings, so that its size doesn't matter."""
+    bare = F.regexp_replace(record, r"(?s)\\.", "")
+    # a mark after each key and for each other string; JSON holds no such character
+    marked = F.regexp_replace(bare, r'("[^"]*+"\s*+:)|"[^"]*+"', "$1\x01")
+    return F.replace(F.regexp_replace(marked, ":\x01", ":"), F.lit("\x01"), F.lit('""'))
+
+
 def fingerprint(record: Column) -> Column:
     """The fingerprint of a JSON record's nested field paths; null for what isn't JSON."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
+    shape = F.schema_of_variant(F.try_parse_json(skeleton(record)))
     scalars = r"(?<=: |ARRAY<)(BIGINT|DOUBLE|FLOAT|BOOLEAN|STRING|VOID|DATE|BINARY|TIMESTAMP_NTZ|TIMESTAMP|DECIMAL\(\d+,\s?\d+\)|VARIANT)(?=[,>])"
     return F.substring(F.sha2(F.regexp_replace(shape, scalars, "*"), 256), 1, 16)
 
@@ -104,10 +113,15 @@ class Registry:
 
     def turns(self, record: Column) -> Column:
         """Canonical turns of a JSON record; null if its fingerprint is unknown."""
-        print_, out = fingerprint(record), F.lit(None).cast(TURNS)
-        for key, mapping in self.by_print.items():
-            out = F.when(print_ == key, _apply(mapping, F.from_json(record, T.StructType.fromDDL(mapping.layout)))).otherwise(out)
-        return out
+
+        def chosen(print_: Column) -> Column:
+            out = F.lit(None).cast(TURNS)
+            for key, mapping in self.by_print.items():
+                parsed = F.from_json(record, T.StructType.fromDDL(mapping.layout), {"maxStringLen": str(2**31 - 1)})
+                out = F.when(print_ == key, let(parsed, partial(_apply, mapping))).otherwise(out)
+            return out
+
+        return let(fingerprint(record), chosen)
 
 
 def _role(role: Column) -> Column:
@@ -138,13 +152,16 @@ def _apply(mapping: Mapping, record: Column) -> Column:
     return F.concat(*turns)
 
 
-def turns_of_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, turns) of a table with one turn per row, whose layout its schema must have."""
+def records_of_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv, record): the turns of each conversation as one JSON record; a conversation meets in one task."""
     picked = rows.select(quoted(conv).alias("conv"), F.struct(quoted(turn).cast("long").alias("turn"), F.coalesce(quoted(role), F.lit("")).alias("role"), F.coalesce(quoted(text), F.lit("")).alias("text")).alias("one"))
     folded = picked.groupBy("conv").agg(F.sort_array(F.collect_list("one")).alias("turns"))
-    # the folded table is a layout like any other: its fingerprint selects the mapping
-    mapping = Registry().by_print[fingerprint_of(folded.select("turns").schema)]
-    return folded.select(F.col("conv").alias(conv), _apply(mapping, F.struct("turns")).alias("turns"))
+    return folded.select(F.col("conv").alias(conv), F.to_json(F.struct("turns"), {"ignoreNullFields": "false"}).alias("record"))
+
+
+def turns_of_rows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """(conv, turns) of a table with one turn per row; each record's own fingerprint selects its mapping."""
+    return records_of_rows(rows, conv, turn, role, text).select(conv, Registry().turns(F.col("record")).alias("turns"))
 
 
 # --- template ---------------------------------------------------------------------------------
@@ -176,12 +193,16 @@ def format_turns(turns: Column) -> Column:
 
 def loss_spans(turns: Column, role: str = "assistant") -> Column:
     """Half-open code point spans of that role's texts in format_turns(turns)."""
-    sized = F.transform(turns, lambda t: F.struct(F.length(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))).cast("long").alias("head"), F.length(escape(t["text"])).cast("long").alias("body"), (t["role"] == role).alias("loss")))
-    # (position, spans so far), one step per turn
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    span = lambda a, s: F.array(F.struct((a["at"] + s["head"]).alias("start"), (a["at"] + s["head"] + s["body"]).alias("end")))
-    step = lambda a, s: F.struct((a["at"] + s["head"] + s["body"] + len(END) + 1).alias("at"), F.when(s["loss"], F.concat(a["spans"], span(a, s))).otherwise(a["spans"]).alias("spans"))
-    return F.aggregate(sized, first, step, lambda a: a["spans"])
+    part = lambda t: F.struct(F.length(F.concat(F.lit(START), escape_role(t["role"]), F.lit("\n"))).cast("long").alias("head"), F.length(escape(t["text"])).cast("long").alias("body"), (t["role"] == role).alias("loss"))
+
+    def spans(parts: Column) -> Column:
+        sizes = F.transform(parts, lambda p: p["head"] + p["body"] + len(END) + 1)
+        start = lambda known, p, i: F.get(known, i) + p["head"]
+        one = lambda known, p, i: F.struct(start(known, p, i).alias("start"), (start(known, p, i) + p["body"]).alias("end"), p["loss"].alias("loss"))
+        placed = let(running_starts(sizes), lambda known: F.transform(parts, lambda p, i: one(known, p, i)))
+        return F.transform(F.filter(placed, lambda p: p["loss"]), lambda p: F.struct(p["start"].alias("start"), p["end"].alias("end")))
+
+    return F.when(turns.isNotNull(), let(F.transform(turns, part), spans))
 
 
 def format_chat(convs: DataFrame, turns: str = "turns") -> DataFrame:
@@ -200,7 +221,8 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss(formatted: Column, spans: Column) -> Column:
     """All text under the mask, in order, unescaped, nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))), "")
+    part = lambda whole, s: unescape(F.substring(whole, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")))
+    return let(formatted, lambda whole: F.array_join(F.transform(spans, lambda s: part(whole, s)), ""))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,28 +1,34 @@
 """Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
-Four regular expressions with checks find the seeds: e-mail and IP addresses, card and phone numbers.
-Their contexts induce lexical patterns (the two words before, the word before, the words around). Patterns
-and identifier-like strings form a bipartite graph. In each round a pattern of a kind is
-trusted if enough different known instances stand in it and most of all instances in it are known to be
-of that kind; an unknown string is accepted if the patterns it stands in make it likely enough
-(noisy-or of their precisions), and is known in the next round. Accepted strings give further spans, of
-kind learned_<kind>; the seeds' spans stay as they are.
-
-The text is read once, into a narrow table of spans, candidates and their contexts; the graph is
-counted over distinct (pattern, instance) pairs, pre-aggregated before the shuffle, so copies of a
-document weigh once and a frequent word is no hot task.
+Seeds are found by form: e-mail and IP addresses, card and phone numbers (the base kinds), and secrets
+in published formats or of long mixed hexadecimal digits. A text is a sequence of units: words, runs of
+digit groups, and the signs = : " ' that tie a value to its name. The units around a seed, the shape and the
+prefix of the seed induce lexical patterns. Patterns and instances form a bipartite graph. In each round a
+pattern is trusted for a kind if enough different known instances stand in it and most of all different
+units in it are known to be of that kind; any unknown unit in trusted patterns is accepted if their
+precisions make it likely enough (noisy-or), and is known in the next round. Rounds go on until nothing
+more is accepted. Accepted units that stand in a trusted pattern give further spans, of kind
+learned_<kind>; the seeds' spans stay as they are.
+
+The seeds' edges come from the units themselves, so no table of seeds is sent around. Patterns and accepted
+values are sent to the tasks that scan the texts, at most SENT at a time; more of them take more scans.
+Edges are distinct (pattern, instance) pairs, pre-aggregated before the shuffle, so copies of a
+document weigh once and a frequent word is no hot task. Patterns and values go by 64-bit hashes.
 
 Offsets are code points, ends exclusive; matches of a kind are leftmost and don't overlap. Defined
-cases: null counts as empty, which has no spans; repeated rows and null ids give a row each; an empty
-table gives an empty result; further columns of any name are not looked at.
+cases: null counts as empty, which has no spans; repeated rows and null ids give a row each; a row with very many
+matches costs little more than its length; an empty table gives an empty result; further columns of
+any name are not looked at.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, quoted, table
+from .common import let, materialize, quoted, running_starts, table
 
 # The patterns of the four kinds, in the order of the result. Quantifiers are possessive and runs are entered at
 # their start (or where the last match ended, \G) only: the same matches, in linear time and constant stack.
@@ -35,30 +41,44 @@ KINDS = {
 }
 # What a text needs for a match at all; cheap to test.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-#: Strings that may be identifiers: runs of at least six such characters with at least four digits.
-_ID = r"[A-Za-z0-9@._%+-]"
-CANDIDATE = rf"(?:\G|(?<!{_ID}))(?=[A-Za-z@._%+-]*+[0-9]){_ID}{{6,}}+"
+# Published formats of secrets, and hexadecimal strings that no word or number is.
+_FORMATS = (
+    r"(?:AKIA|ASIA)[0-9A-Z]{16}",
+    r"gh[pousr]_[A-Za-z0-9]{36}",
+    r"xox[abprs]-[A-Za-z0-9-]{10,}+",
+    r"AIza[0-9A-Za-z_-]{35}",
+    r"[sr]k_(?:live|test)_[0-9A-Za-z]{16,}+",
+    r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]++",
+    r"(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{16,}+",
+)
+SECRET = r"(?<![A-Za-z0-9])(?:" + "|".join(_FORMATS) + r")(?![A-Za-z0-9])"
+SECRET_NEEDS = r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|k_(?:live|test)_|eyJ|[0-9A-Fa-f]{16}"
+SEEDS = (*KINDS, "secret")
+
+#: A unit: a run of digit groups, a word, or one of the signs; what can't be part of a word parts units.
+_APART = r"\x20\x09-\x0D\"'=:;,<>()\[\]{}|"
+UNIT = rf"[+(]?[0-9](?:[0-9().\x20-]*[0-9])?(?![A-Za-z0-9_@%])|[^{_APART}]*[^{_APART}.!?]|[\"'=:]"
+SIGNS = ("'", '"', "=", ":")
 
-ROUNDS = 2
 MIN_SUPPORT, MIN_PRECISION, MIN_CONFIDENCE = 5, 0.6, 0.75
-CONTEXT = 64
+#: Patterns or values that are sent to the tasks at a time (16 bytes each).
+SENT = 2_000_000
 
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
-def spans_of(text: Column, pattern: str, needs: str) -> Column:
+def spans_of(text: Column, pattern: str, needs: str | None) -> Column:
     """All matches as (start, end, value): the lengths of the gaps between matches give the offsets."""
-    values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), values.alias("value"))
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
 
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["gap"])
-        end = start + F.length(p["value"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), p["value"].alias("value")))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(p["value"].isNull(), a["spans"]).otherwise(F.concat(a["spans"], one)).alias("spans"))
+    def spans(values: Column, gaps: Column) -> Column:
+        both = F.zip_with(gaps, values, lambda g, v: g + F.coalesce(F.length(v), F.lit(0)))
+        at = lambda starts, i: (F.get(starts, i) + F.get(gaps, i)).cast("int")
+        one = lambda starts, v, i: F.struct(at(starts, i).alias("start"), (at(starts, i) + F.length(v)).alias("end"), v.alias("value"))
+        return let(running_starts(both), lambda starts: F.transform(values, lambda v, i: one(starts, v, i)))
 
-    return F.when(text.rlike(needs), F.aggregate(parts, first, step, lambda a: a["spans"])).otherwise(F.array().cast(SPANS))
+    lengths = F.transform(F.split(text, pattern, -1), lambda g: F.length(g).cast("long"))
+    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda values: let(lengths, lambda gaps: spans(values, gaps)))
+    return found if needs is None else F.when(text.rlike(needs), found).otherwise(F.array().cast(SPANS))
 
 
 def luhn(digits: Column) -> Column:
@@ -81,10 +101,13 @@ def passes(kind: str, value: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """array of (kind no., start, end, value), by kind, then start."""
-    kinds = []
-    for i, (kind, pattern) in enumerate(KINDS.items()):
-        kinds.append(_numbered(i, _kept(kind, spans_of(text, pattern, NEEDS[kind]))))
-    return F.concat(*kinds)
+    return F.concat(*(_numbered(i, _kept(kind, spans_of(text, pattern, NEEDS[kind]))) for i, (kind, pattern) in enumerate(KINDS.items())))
+
+
+def seed_spans(text: Column) -> Column:
+    """base_spans, then the secrets that overlap none of them."""
+    secrets = _numbered(len(KINDS), spans_of(text, SECRET, SECRET_NEEDS))
+    return let(base_spans(text), lambda base: F.concat(base, F.filter(secrets, lambda s: ~_overlaps(s, base))))
 
 
 def _kept(kind: str, spans: Column) -> Column:
@@ -99,67 +122,109 @@ def _overlaps(span: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
 
 
-def contexts(text: Column, start: Column, end: Column) -> Column:
-    """The lexical patterns of a span: lower-cased words around it, digits as 0."""
-    low = F.greatest(start - CONTEXT, F.lit(0))
-    words = lambda part: F.filter(F.split(F.regexp_replace(F.lower(part), "[0-9]", "0"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    before, after = words(F.substring(text, low + 1, start - low)), words(F.substring(text, end + 1, F.lit(CONTEXT)))
-    left = F.coalesce(F.try_element_at(before, F.lit(-1)), F.lit("^"))
-    left2 = F.coalesce(F.try_element_at(before, F.lit(-2)), F.lit("^"))
-    right = F.coalesce(F.try_element_at(after, F.lit(1)), F.lit("$"))
-    return F.array(F.concat_ws(" ", left2, left, F.lit("_")), F.concat_ws(" ", left, F.lit("_")), F.concat_ws(" ", left, F.lit("_"), right))
+def kind_of(unit: Column) -> Column:
+    """The number of the seed kind that a lower-cased unit is as a whole; null for an unknown one."""
+    whole = lambda pattern: unit.rlike(rf"^(?:{pattern})$")
+    out = F.when(unit.contains("@"), F.when(whole(rf"{_LOCAL}++@{_DOMAIN}++(?:\.{_DOMAIN}++)++"), 0))
+    out = out.when(passes("ip", unit), 1).when(whole(KINDS["card"]) & passes("card", unit), 2).when(whole(KINDS["phone"]) & passes("phone", unit), 3)
+    return F.when(unit.rlike("[0-9@]"), out.when(whole(f"(?i:{SECRET})"), 4))
 
 
-def occurrences(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(row, key, base spans, seen): what stands in each document and in which contexts, without the text."""
+# What a pattern consists of, by its number; the first figure of the hash.
+PATTERNS = ("three units before", "two units before", "unit before and after", "unit before", "unit before and shape", "prefix")
+
+
+def units(docs: DataFrame, text: str, *carried: Column, offsets: bool = False) -> DataFrame:
+    """A row per unit that is no sign: carried, value (lower-cased), v (its hash), patterns (hashes), and its span if asked for."""
     whole = F.coalesce(quoted(text), F.lit(""))
-    rows = docs.select(quoted(key).alias("key"), whole.alias("t")).withColumn("base", base_spans(F.col("t")))
-    rows = rows.withColumn("other", F.filter(spans_of(F.col("t"), CANDIDATE, "[0-9]"), lambda s: (F.regexp_count(s["value"], F.lit("[0-9]")) >= 4)))
-    unseen = F.transform(F.filter("other", lambda s: ~_overlaps(s, F.col("base"))), lambda s: F.struct(F.lit(-1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    seen = F.transform(F.concat("base", unseen), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), contexts(F.col("t"), s["start"], s["end"]).alias("patterns")))
-    return materialize(rows.select(F.monotonically_increasing_id().alias("row"), "key", "base", seen.alias("seen")), "pii-seen")
-
-
-def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = MIN_SUPPORT, precision: float = MIN_PRECISION, confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
-    """((value, kind) of accepted strings, (pattern, kind, known, all, precision) of trusted patterns)."""
-    each = found.select(F.explode("seen").alias("s")).select(F.lower("s.value").alias("value"), "s.kind", F.explode("s.patterns").alias("pattern"))
-    pairs = materialize(each.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "pii-graph")
-    totals = pairs.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"))
-    learned = None
-    for _ in range(rounds):
-        known = pairs.filter("kind >= 0").select("pattern", "value", "kind")
-        if learned is not None:
-            known = known.unionByName(pairs.filter("kind < 0").drop("kind").join(learned, "value"))
-        counted = known.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("known")).filter(F.col("known") >= support)
-        trusted = counted.join(totals, "pattern").withColumn("precision", F.col("known") / F.col("all")).filter(F.col("precision") >= precision)
-        trusted = materialize(trusted, "pii-patterns")
-        votes = pairs.filter("kind < 0").drop("kind").join(trusted.select("pattern", "kind", "precision"), "pattern")
+    found = spans_of(whole, UNIT, None) if offsets else F.regexp_extract_all(whole, F.lit(UNIT), F.lit(0))
+    rows = docs.select(*carried, found.alias("_u"))
+    value = (lambda u: F.lower(u["value"])) if offsets else F.lower
+    rows = rows.withColumn("_c", F.transform("_u", lambda u: F.translate(value(u), "123456789", "000000000")))
+    edge = lambda sign, n: F.concat(F.array(*[F.lit(sign)] * n), F.col("_c"))
+    zipped = F.arrays_zip(F.col("_u").alias("u"), F.col("_c").alias("c"), edge("^", 1).alias("l1"), edge("^", 2).alias("l2"), edge("^", 3).alias("l3"), F.slice("_c", 2, F.greatest(F.size("_c"), F.lit(1))).alias("r1"))
+    own = [c for c in rows.columns if c not in ("_u", "_c")]
+    each = rows.select(*own, F.inline(zipped)).filter(F.col("u").isNotNull() & ~F.col("c").isin(*SIGNS)).withColumn("value", value(F.col("u")))
+    shape = F.translate("c", "bcdefghijklmnopqrstuvwxyz", "a" * 25)
+    prefix = F.when(F.translate("c", "_", "-").contains("-"), F.substring_index(F.translate("c", "_", "-"), "-", 1))
+    parts = (("l3", "l2", "l1"), ("l2", "l1"), ("l1", F.coalesce("r1", F.lit("$"))), ("l1",), ("l1", shape))
+    patterns = [F.xxhash64(F.lit(i), *part) for i, part in enumerate(parts)]
+    patterns.append(F.when(prefix.isNotNull(), F.xxhash64(F.lit(5), prefix)))
+    span = [F.col("u.start").alias("start"), F.col("u.end").alias("end")] if offsets else []
+    return each.select(*own, "value", F.xxhash64("value").alias("v"), F.array(*patterns).alias("patterns"), *span)
+
+
+def _sent(rows: DataFrame, by: str):
+    """rows in parts that may be broadcast: one, unless there are more than SENT."""
+    n = rows.count()
+    parts = -(-n // SENT)
+    return [rows.filter(F.pmod(F.xxhash64(by), F.lit(parts)) == i) if parts > 1 else rows for i in range(parts)]
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def bootstrap(docs: DataFrame, text: str = "text", support: int = MIN_SUPPORT, precision: float = MIN_PRECISION, confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame] | None:
+    """((v, kind) of accepted values, (pattern, kind, precision) of trusted patterns); None if nothing was accepted."""
+    each = units(docs, text).withColumn("kind", kind_of(F.col("value"))).filter("kind is not null")
+    edges = lambda rows: rows.select("v", "kind", F.explode("patterns").alias("pattern")).filter("pattern is not null").groupBy("pattern", "v").agg(F.max("kind").alias("kind"))
+    known = [materialize(edges(each), "pii-known")]
+    counted, seen, learned = [], [], []
+    while True:
+        facts = _union(known)
+        supported = facts.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("known")).filter(F.col("known") >= support)
+        fresh = supported.select("pattern").distinct()
+        if counted:
+            fresh = fresh.join(_union(counted), "pattern", "left_anti")
+        fresh = materialize(fresh, "pii-candidates")
+        counted.append(fresh)
+        for part in _sent(fresh, "pattern"):
+            stands = units(docs, text).select("v", F.explode("patterns").alias("pattern")).join(F.broadcast(part), "pattern")
+            seen.append(materialize(stands.groupBy("pattern", "v").agg(F.count(F.lit(1)).alias("n")), "pii-edges"))
+        if not seen:
+            return None
+        graph = _union(seen)
+        totals = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"))
+        trusted = supported.join(totals, "pattern").withColumn("precision", F.least(F.col("known") / F.col("all"), F.lit(1.0))).filter(F.col("precision") >= precision)
+        trusted = materialize(trusted.select("pattern", "kind", "precision"), "pii-patterns")
+        votes = graph.join(trusted, "pattern").join(facts.select("v").distinct(), "v", "left_anti")
         # noisy-or; a precision of 1 counts as 0.999 so that its logarithm is finite
-        scored = votes.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.ln(1 - F.least("precision", F.lit(0.999)))))).alias("confidence"))
-        best = scored.filter(F.round("confidence", 9) >= confidence).groupBy("value").agg(F.max(F.struct(F.round("confidence", 9), -F.col("kind"))).alias("b"))
-        learned = materialize(best.select("value", (-F.col("b.col2")).alias("kind")), "pii-learned")
-    return learned, trusted
+        scored = votes.groupBy("v", "kind").agg((1 - F.exp(F.sum(F.ln(1 - F.least("precision", F.lit(0.999)))))).alias("confidence"))
+        best = scored.filter(F.round("confidence", 9) >= confidence).groupBy("v").agg(F.max(F.struct(F.round("confidence", 9), -F.col("kind"))).alias("b"))
+        accepted = materialize(best.select("v", (-F.col("b.col2")).alias("kind")), "pii-learned")
+        parts = _sent(accepted, "v")
+        if not parts:
+            return (_union(learned), trusted) if learned else None
+        learned.append(accepted)
+        known += [materialize(edges(units(docs, text).join(F.broadcast(part), "v")), "pii-known") for part in parts]
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, spans): one row per row of docs; spans are (kind, start, end, value), seeds first."""
-    found = occurrences(docs, key, text)
-    learned, _ = bootstrap(found)
-    unknown = found.select("row", F.explode(F.filter("seen", lambda s: s["kind"] < 0)).alias("s")).select("row", F.lower("s.value").alias("value"), "s.start", "s.end", F.col("s.value").alias("as_is"))
-    names = F.array(*(F.lit(f"learned_{k}") for k in KINDS))
-    hits = unknown.join(learned, "value").select("row", F.struct(F.get(names, F.col("kind")).alias("kind"), "start", "end", F.col("as_is").alias("value"), F.col("kind").alias("no")).alias("span"))
-    added = hits.groupBy(F.col("row").alias("_row")).agg(F.array_sort(F.collect_list(F.struct(F.col("span.no"), F.col("span.start"), "span"))).alias("added"))
-    kinds = F.array(*(F.lit(k) for k in KINDS))
-    plain = lambda s, name: F.struct(name.alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"))
-    base = F.transform("base", lambda s: plain(s, F.get(kinds, s["kind"])))
-    extra = F.transform("added", lambda a: plain(a["span"], a["span"]["kind"]))
-    joined = found.select("row", "key", "base").join(added, F.col("row") == F.col("_row"), "left")
-    return joined.select(F.col("key").alias(key), F.concat(base, F.coalesce(extra, F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>"))).alias("spans"))
+    """(key, spans): one row per row of docs; spans are (kind, start, end, value), seeds by kind first, then what was learned."""
+    whole = F.coalesce(quoted(text), F.lit(""))
+    # rows alike in key and text share their result
+    row = F.unhex(F.md5(F.concat(F.coalesce(quoted(key).cast("string"), F.lit("\x01")), F.lit("\x00"), whole))).alias("row")
+    named = lambda spans, names: F.transform(spans, lambda s: F.struct(F.get(F.array(*map(F.lit, names)), s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
+    found = materialize(docs.select(quoted(key).alias("key"), row, seed_spans(whole).alias("seeds")), "pii-seeds")
+    seeds = named(F.col("seeds"), SEEDS)
+    learned = bootstrap(docs, text)
+    if learned is None:
+        return found.select(F.col("key").alias(key), seeds.alias("spans"))
+    values, trusted = learned
+    scanned = units(docs, text, row, offsets=True).withColumn("pattern", F.explode("patterns"))
+    hits = _union([scanned.join(F.broadcast(part.select("pattern", "kind")), "pattern") for part in _sent(trusted, "pattern")])
+    # a unit may stand in several trusted patterns: it is the kind that was accepted for its value
+    spans = hits.join(values, ["v", "kind"]).groupBy("row", "start").agg(F.min("kind").alias("kind"), F.first("end").alias("end"), F.first("value").alias("value"))
+    added = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("more"))
+    more = F.filter(F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")), lambda s: ~_overlaps(s, F.col("seeds")))
+    return found.join(added, "row", "left").select(F.col("key").alias(key), F.concat(seeds, named(more, [f"learned_{k}" for k in SEEDS])).alias("spans"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; n_found counts the spans of every kind."""
     found = detect(table(spark, sf_dir, "documents"))
-    named = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    base = F.filter("spans", lambda s: ~s["kind"].startswith("learned_"))
-    return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(named(base), 256).alias("base_sha256"), named(F.col("spans")).alias("spans"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*KINDS))
+    return found.select("doc_id", *(count(k) for k in KINDS), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_found"))

@@ -1,6 +1,8 @@
 import hashlib
+import json
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factweave.llm import chat
 
@@ -39,6 +41,40 @@ def test_fingerprints_select_mappings(spark):
     assert got == records
 
 
+def test_each_record_of_a_table_selects_its_own_mapping(spark):
+    said = 'say "hi": {"prompt": 1}, [\\] \n <|im_end|> ü😀'
+    layouts = [
+        ({"prompt": said, "completion": "b"}, [("user", said), ("assistant", "b")]),
+        ({"instruction": "x", "input": said, "output": "z"}, [("user", f"x\n\n{said}"), ("assistant", "z")]),
+        ({"instruction": "x", "context": "", "response": said}, [("user", "x"), ("assistant", said)]),
+        ({"question": said, "answer": ""}, [("user", said), ("assistant", "")]),
+        ({"conversations": [{"from": "human", "value": said}, {"from": "gpt", "value": "r"}]}, [("user", said), ("assistant", "r")]),
+        ({"messages": [{"role": "tool", "content": said}]}, [("tool", said)]),
+        ({"turns": [{"turn": 1, "role": "user", "text": said}, {"turn": 2, "role": "assistant", "text": None}]}, [("user", said), ("assistant", "")]),
+        ({"prompt": said}, None),
+        ({"messages": {"role": "user", "content": "no list"}}, None),
+    ]
+    rows = [(i, json.dumps(record, ensure_ascii=i % 2 == 0)) for i, (record, _) in enumerate(layouts * 3)]
+    df = spark.createDataFrame(rows, "id int, record string").repartition(3)
+    assert df.select(chat.fingerprint(F.col("record"))).distinct().count() == len(layouts)
+    out = chat.format_chat(df.withColumn("turns", chat.Registry().turns(F.col("record"))))
+    got = {r.id: r.back and [(t.role, t.text) for t in r.back] for r in out.select("id", chat.read_turns(F.col("formatted")).alias("back")).collect()}
+    assert got == {i: layouts[i % len(layouts)][1] for i, _ in rows}
+
+
+def test_rows_become_records_whose_fingerprint_counts(spark):
+    rows = [(1, None, None, None), (2, 5, "user", "a"), (2, 4, "assistant", 'q"\\')]
+    df = chat.records_of_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {chat.fingerprint_of(T.StructType.fromDDL("turns ARRAY<STRUCT<turn: BIGINT, role: STRING, text: STRING>>"))} == {r[0] for r in df.select(chat.fingerprint(F.col("record"))).collect()}
+
+
+def test_many_turns_and_a_very_long_text(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"t{i}") for i in range(6_000)] + [(2, 0, "assistant", '"\\' * 10_500_000)]
+    out = chat.format_chat(chat.turns_of_rows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
+    got = {r.conv_id: r for r in out.select("conv_id", F.size("turns").alias("n"), F.length(chat.read_loss(F.col("formatted"), F.col("loss_spans"))).alias("loss")).collect()}
+    assert got[1].n == 6_000 and got[1].loss == sum(len(f"t{i}") for i in range(1, 6_000, 2)) and (got[2].n, got[2].loss) == (1, 21_000_000)
+
+
 def test_schema_and_record_fingerprints_agree(spark):
     df = spark.createDataFrame([("u", [("a", 1)])], "b string, a array<struct<y:string,x:int>>")
     record = df.select(chat.fingerprint(F.to_json(F.struct("*"))).alias("f")).first().f
