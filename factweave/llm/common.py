@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,27 +16,53 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (on one machine, as in tests) one of our own."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     own = os.path.join(tempfile.gettempdir(), "checkpoints", "factweave")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
 
 
+def application_dir(spark: SparkSession) -> str:
+    """All tables that an application writes lie in this folder, to be removed with it."""
+    return f"{shared_dir(spark)}/factweave-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the shared folder; all of an application's lie in one folder, to be removed with it."""
-    return f"{shared_dir(spark)}/factweave-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    return f"{application_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes in the end the tables that were materialised inside, but those that outlive it."""
+    made: list[str] = []
+    _scratch.append(made)
+    try:
+        yield
+    finally:
+        _scratch.pop()
+        for path in made:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, outlive: bool = False) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
     Cuts lineage so that a lost executor costs one re-read, not a re-run; columns computed from
-    partition ids or row positions are fixed from then on.
+    partition ids or row positions are fixed from then on. With outlive it stays until the scratch outside the
+    innermost one ends.
     """
     path = new_path(df.sparkSession, label)
+    for made in _scratch[-1 - outlive : len(_scratch) - outlive]:
+        made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
