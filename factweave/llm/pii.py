@@ -2,16 +2,17 @@
 
 Seeds are found by form: e-mail and IP addresses, card and phone numbers (the base kinds), and secrets
 in published formats or of long mixed hexadecimal digits. A text is a sequence of units: words, runs of
-digit groups, and the signs = : " ' that tie a value to its name. The units around a seed, the shape and the
-prefix of the seed induce lexical patterns. Patterns and instances form a bipartite graph. In each round a
+digit groups, and the signs = : " ' that tie a value to its name. The units around a seed (within CONTEXT
+characters) and its shape induce lexical patterns. Patterns and instances form a bipartite graph. In each round a
 pattern is trusted for a kind if enough different known instances stand in it and most of all different
 units in it are known to be of that kind; any unknown unit in trusted patterns is accepted if their
 precisions make it likely enough (noisy-or), and is known in the next round. Rounds go on until nothing
 more is accepted. Accepted units that stand in a trusted pattern give further spans, of kind
 learned_<kind>; the seeds' spans stay as they are.
 
-The seeds' edges come from the units themselves, so no table of seeds is sent around. Patterns and accepted
-values are sent to the tasks that scan the texts, at most SENT at a time; more of them take more scans.
+The seeds' edges come from their spans, so no table of seeds is sent around. Patterns and accepted values
+are sent to the tasks that scan the texts, at most SENT at a time; more of them take more scans. A round
+scans the texts once for the units in new patterns, and once for accepted values if there are any.
 Edges are distinct (pattern, instance) pairs, pre-aggregated before the shuffle, so copies of a
 document weigh once and a frequent word is no hot task. Patterns and values go by 64-bit hashes.
 
@@ -52,7 +53,9 @@ _FORMATS = (
     r"(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{16,}+",
 )
 SECRET = r"(?<![A-Za-z0-9])(?:" + "|".join(_FORMATS) + r")(?![A-Za-z0-9])"
-SECRET_NEEDS = r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|AIza|k_(?:live|test)_|eyJ|[0-9A-Fa-f]{16}"
+#: What a text with a secret contains: a beginning, or a digit next to a hexadecimal letter.
+SECRET_BEGINS = ("AKIA", "ASIA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "xox", "AIza", "k_live_", "k_test_", "eyJ")
+SECRET_NEEDS = r"[0-9](?:(?=[A-Fa-f])|(?<=[A-Fa-f][0-9]))"
 SEEDS = (*KINDS, "secret")
 
 #: A unit: a run of digit groups, a word, or one of the signs; what can't be part of a word parts units.
@@ -63,6 +66,7 @@ SIGNS = ("'", '"', "=", ":")
 MIN_SUPPORT, MIN_PRECISION, MIN_CONFIDENCE = 5, 0.6, 0.75
 #: Patterns or values that are sent to the tasks at a time (16 bytes each).
 SENT = 2_000_000
+CONTEXT = 96
 
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
@@ -106,8 +110,9 @@ def base_spans(text: Column) -> Column:
 
 def seed_spans(text: Column) -> Column:
     """base_spans, then the secrets that overlap none of them."""
-    secrets = _numbered(len(KINDS), spans_of(text, SECRET, SECRET_NEEDS))
-    return let(base_spans(text), lambda base: F.concat(base, F.filter(secrets, lambda s: ~_overlaps(s, base))))
+    may = reduce(Column.__or__, (text.contains(x) for x in SECRET_BEGINS)) | text.rlike(SECRET_NEEDS)
+    secrets = F.when(may, _numbered(len(KINDS), spans_of(text, SECRET, None)))
+    return let(base_spans(text), lambda base: F.concat(base, F.coalesce(F.filter(secrets, lambda s: ~_overlaps(s, base)), F.filter(base, lambda _: F.lit(False)))))
 
 
 def _kept(kind: str, spans: Column) -> Column:
@@ -122,36 +127,51 @@ def _overlaps(span: Column, others: Column) -> Column:
     return F.exists(others, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
 
 
-def kind_of(unit: Column) -> Column:
-    """The number of the seed kind that a lower-cased unit is as a whole; null for an unknown one."""
-    whole = lambda pattern: unit.rlike(rf"^(?:{pattern})$")
-    out = F.when(unit.contains("@"), F.when(whole(rf"{_LOCAL}++@{_DOMAIN}++(?:\.{_DOMAIN}++)++"), 0))
-    out = out.when(passes("ip", unit), 1).when(whole(KINDS["card"]) & passes("card", unit), 2).when(whole(KINDS["phone"]) & passes("phone", unit), 3)
-    return F.when(unit.rlike("[0-9@]"), out.when(whole(f"(?i:{SECRET})"), 4))
+# What a pattern consists of besides the unit before, by its number, which is the first figure of its hash.
+PATTERNS = ("two more units before", "one more unit before", "unit after", "nothing", "shape")
 
 
-# What a pattern consists of, by its number; the first figure of the hash.
-PATTERNS = ("three units before", "two units before", "unit before and after", "unit before", "unit before and shape", "prefix")
+def patterns(value: Column, l1: Column, l2: Column, l3: Column, r1: Column) -> Column:
+    """The hashes of the lexical patterns of a lower-cased unit with its lower-cased neighbours."""
+    shape = F.translate(value, "bcdefghijklmnopqrstuvwxyz123456789", "a" * 25 + "0" * 9)
+    return F.array(*(F.xxhash64(F.lit(i), *part) for i, part in enumerate(((l3, l2, l1), (l2, l1), (l1, r1), (l1,), (l1, shape)))))
 
 
-def units(docs: DataFrame, text: str, *carried: Column, offsets: bool = False) -> DataFrame:
-    """A row per unit that is no sign: carried, value (lower-cased), v (its hash), patterns (hashes), and its span if asked for."""
-    whole = F.coalesce(quoted(text), F.lit(""))
-    found = spans_of(whole, UNIT, None) if offsets else F.regexp_extract_all(whole, F.lit(UNIT), F.lit(0))
+def seed_edges(seeds: DataFrame) -> DataFrame:
+    """(pattern, v, kind, l1) of a table with seeds: array<kind, value, before, after>."""
+    rows = seeds.select(F.explode("seeds").alias("s")).select("s.kind", F.lower("s.value").alias("value"), "s.cut", F.lower("s.before").alias("b"), F.lower("s.after").alias("a"))
+    found = lambda c: F.regexp_extract_all(c, F.lit(UNIT), F.lit(0))
+    rows = rows.withColumns({"b": found(F.col("b")), "a": found(F.col("a"))})
+    # the first unit of a window that doesn't begin with the text may be the end of a longer one
+    rows = rows.withColumn("b", F.when(F.col("cut"), F.slice("b", 2, F.greatest(F.size("b"), F.lit(1)))).otherwise(F.col("b")))
+    at = lambda k: F.coalesce(F.try_element_at("b", F.lit(-k)), F.lit("^"))
+    each = rows.select("kind", F.xxhash64("value").alias("v"), at(1).alias("l1"), patterns(F.col("value"), at(1), at(2), at(3), F.coalesce(F.try_element_at("a", F.lit(1)), F.lit("$"))).alias("p"))
+    return each.select("v", "kind", "l1", F.explode("p").alias("pattern")).groupBy("pattern", "v").agg(F.max("kind").alias("kind"), F.first("l1").alias("l1"))
+
+
+def units(docs: DataFrame, text: str, *carried: Column) -> DataFrame:
+    """A row per unit that is no sign: carried, i (its number), u, and its neighbours l1, l2, l3 before and r1 after it."""
+    found = F.regexp_extract_all(F.coalesce(quoted(text), F.lit("")), F.lit(UNIT), F.lit(0))
     rows = docs.select(*carried, found.alias("_u"))
-    value = (lambda u: F.lower(u["value"])) if offsets else F.lower
-    rows = rows.withColumn("_c", F.transform("_u", lambda u: F.translate(value(u), "123456789", "000000000")))
-    edge = lambda sign, n: F.concat(F.array(*[F.lit(sign)] * n), F.col("_c"))
-    zipped = F.arrays_zip(F.col("_u").alias("u"), F.col("_c").alias("c"), edge("^", 1).alias("l1"), edge("^", 2).alias("l2"), edge("^", 3).alias("l3"), F.slice("_c", 2, F.greatest(F.size("_c"), F.lit(1))).alias("r1"))
-    own = [c for c in rows.columns if c not in ("_u", "_c")]
-    each = rows.select(*own, F.inline(zipped)).filter(F.col("u").isNotNull() & ~F.col("c").isin(*SIGNS)).withColumn("value", value(F.col("u")))
-    shape = F.translate("c", "bcdefghijklmnopqrstuvwxyz", "a" * 25)
-    prefix = F.when(F.translate("c", "_", "-").contains("-"), F.substring_index(F.translate("c", "_", "-"), "-", 1))
-    parts = (("l3", "l2", "l1"), ("l2", "l1"), ("l1", F.coalesce("r1", F.lit("$"))), ("l1",), ("l1", shape))
-    patterns = [F.xxhash64(F.lit(i), *part) for i, part in enumerate(parts)]
-    patterns.append(F.when(prefix.isNotNull(), F.xxhash64(F.lit(5), prefix)))
-    span = [F.col("u.start").alias("start"), F.col("u.end").alias("end")] if offsets else []
-    return each.select(*own, "value", F.xxhash64("value").alias("v"), F.array(*patterns).alias("patterns"), *span)
+    edge = lambda n: F.concat(F.array(*[F.lit("^")] * n), F.col("_u")).alias(f"l{n}")
+    number = F.sequence(F.lit(0), F.greatest(F.size("_u") - 1, F.lit(0))).alias("i")
+    zipped = F.arrays_zip(F.col("_u").alias("u"), number, edge(1), edge(2), edge(3), F.slice("_u", 2, F.greatest(F.size("_u"), F.lit(1))).alias("r1"))
+    return rows.select(*(c for c in rows.columns if c != "_u"), F.inline(zipped)).filter(F.col("u").isNotNull() & ~F.col("u").isin(*SIGNS))
+
+
+def _patterned(rows: DataFrame) -> DataFrame:
+    """rows of units with v, l1 lower-cased and a row per pattern."""
+    low = lambda c: F.lower(c)
+    own = [c for c in rows.columns if c not in ("u", "l1", "l2", "l3", "r1")]
+    p = patterns(low("u"), low("l1"), low("l2"), low("l3"), F.coalesce(low("r1"), F.lit("$")))
+    return rows.select(*own, F.xxhash64(low("u")).alias("v"), low("l1").alias("l1"), F.explode(p).alias("pattern"))
+
+
+def _standing(docs: DataFrame, text: str, wanted: DataFrame, *carried: Column) -> DataFrame:
+    """The units that stand in wanted patterns (pattern, l1, ...): first by the unit before them, then by the whole pattern."""
+    anchors = wanted.select(F.col("l1").alias("_anchor")).distinct()
+    near = units(docs, text, *carried).join(F.broadcast(anchors), F.lower("l1") == F.col("_anchor"), "left_semi")
+    return _patterned(near).drop("l1").join(F.broadcast(wanted.drop("l1")), "pattern")
 
 
 def _sent(rows: DataFrame, by: str):
@@ -165,30 +185,27 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def bootstrap(docs: DataFrame, text: str = "text", support: int = MIN_SUPPORT, precision: float = MIN_PRECISION, confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame] | None:
-    """((v, kind) of accepted values, (pattern, kind, precision) of trusted patterns); None if nothing was accepted."""
-    each = units(docs, text).withColumn("kind", kind_of(F.col("value"))).filter("kind is not null")
-    edges = lambda rows: rows.select("v", "kind", F.explode("patterns").alias("pattern")).filter("pattern is not null").groupBy("pattern", "v").agg(F.max("kind").alias("kind"))
-    known = [materialize(edges(each), "pii-known")]
-    counted, seen, learned = [], [], []
+def bootstrap(docs: DataFrame, edges: DataFrame, text: str = "text", support: int = MIN_SUPPORT, precision: float = MIN_PRECISION, confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame] | None:
+    """((v, kind) of accepted values, (pattern, kind, l1, precision) of trusted patterns), from the seeds' edges; None if nothing was accepted."""
+    known, counted, seen, learned = [edges], [], [], []
     while True:
         facts = _union(known)
-        supported = facts.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("known")).filter(F.col("known") >= support)
-        fresh = supported.select("pattern").distinct()
+        supported = facts.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("known"), F.first("l1").alias("l1")).filter(F.col("known") >= support)
+        fresh = supported.groupBy("pattern").agg(F.first("l1").alias("l1"))
         if counted:
-            fresh = fresh.join(_union(counted), "pattern", "left_anti")
+            fresh = fresh.join(_union(counted).select("pattern"), "pattern", "left_anti")
         fresh = materialize(fresh, "pii-candidates")
         counted.append(fresh)
         for part in _sent(fresh, "pattern"):
-            stands = units(docs, text).select("v", F.explode("patterns").alias("pattern")).join(F.broadcast(part), "pattern")
+            stands = _standing(docs, text, part)
             seen.append(materialize(stands.groupBy("pattern", "v").agg(F.count(F.lit(1)).alias("n")), "pii-edges"))
         if not seen:
             return None
         graph = _union(seen)
         totals = graph.groupBy("pattern").agg(F.count(F.lit(1)).alias("all"))
         trusted = supported.join(totals, "pattern").withColumn("precision", F.least(F.col("known") / F.col("all"), F.lit(1.0))).filter(F.col("precision") >= precision)
-        trusted = materialize(trusted.select("pattern", "kind", "precision"), "pii-patterns")
-        votes = graph.join(trusted, "pattern").join(facts.select("v").distinct(), "v", "left_anti")
+        trusted = materialize(trusted.select("pattern", "kind", "l1", "precision"), "pii-patterns")
+        votes = graph.join(trusted.drop("l1"), "pattern").join(facts.select("v").distinct(), "v", "left_anti")
         # noisy-or; a precision of 1 counts as 0.999 so that its logarithm is finite
         scored = votes.groupBy("v", "kind").agg((1 - F.exp(F.sum(F.ln(1 - F.least("precision", F.lit(0.999)))))).alias("confidence"))
         best = scored.filter(F.round("confidence", 9) >= confidence).groupBy("v").agg(F.max(F.struct(F.round("confidence", 9), -F.col("kind"))).alias("b"))
@@ -197,7 +214,9 @@ def bootstrap(docs: DataFrame, text: str = "text", support: int = MIN_SUPPORT, p
         if not parts:
             return (_union(learned), trusted) if learned else None
         learned.append(accepted)
-        known += [materialize(edges(units(docs, text).join(F.broadcast(part), "v")), "pii-known") for part in parts]
+        for part in parts:
+            found = _patterned(units(docs, text).join(F.broadcast(part), F.xxhash64(F.lower("u")) == F.col("v")).drop("v", "i"))
+            known.append(materialize(found.groupBy("pattern", "v").agg(F.max("kind").alias("kind"), F.first("l1").alias("l1")), "pii-known"))
 
 
 def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -206,17 +225,21 @@ def detect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     # rows alike in key and text share their result
     row = F.unhex(F.md5(F.concat(F.coalesce(quoted(key).cast("string"), F.lit("\x01")), F.lit("\x00"), whole))).alias("row")
     named = lambda spans, names: F.transform(spans, lambda s: F.struct(F.get(F.array(*map(F.lit, names)), s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    found = materialize(docs.select(quoted(key).alias("key"), row, seed_spans(whole).alias("seeds")), "pii-seeds")
+    before = lambda t, s: F.substring(t, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT)))
+    window = lambda t, s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), (s["start"] > CONTEXT).alias("cut"), before(t, s).alias("before"), F.substring(t, s["end"] + 1, F.lit(CONTEXT)).alias("after"))
+    seeded = let(whole, lambda t: F.transform(seed_spans(t), lambda s: window(t, s)))
+    found = materialize(docs.select(quoted(key).alias("key"), row, seeded.alias("seeds")), "pii-seeds")
     seeds = named(F.col("seeds"), SEEDS)
-    learned = bootstrap(docs, text)
+    learned = bootstrap(docs, materialize(seed_edges(found), "pii-known"), text)
     if learned is None:
         return found.select(F.col("key").alias(key), seeds.alias("spans"))
     values, trusted = learned
-    scanned = units(docs, text, row, offsets=True).withColumn("pattern", F.explode("patterns"))
-    hits = _union([scanned.join(F.broadcast(part.select("pattern", "kind")), "pattern") for part in _sent(trusted, "pattern")])
-    # a unit may stand in several trusted patterns: it is the kind that was accepted for its value
-    spans = hits.join(values, ["v", "kind"]).groupBy("row", "start").agg(F.min("kind").alias("kind"), F.first("end").alias("end"), F.first("value").alias("value"))
-    added = spans.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("more"))
+    # a unit may stand in several trusted patterns: it is of the kind that was accepted for its value
+    hits = _union([_standing(docs, text, part.select("pattern", "kind", "l1"), row) for part in _sent(trusted, "pattern")]).join(values, ["v", "kind"])
+    hits = materialize(hits.groupBy("row", "i").agg(F.min("kind").alias("kind")).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "i"))).alias("hits")), "pii-hits")
+    texts = docs.select(row, whole.alias("text")).join(F.broadcast(hits) if hits.count() <= SENT // 16 else hits, "row").dropDuplicates(["row"])
+    one = lambda known, h: F.struct(h["kind"].alias("kind"), F.get(known, h["i"])["start"].alias("start"), F.get(known, h["i"])["end"].alias("end"), F.get(known, h["i"])["value"].alias("value"))
+    added = texts.select("row", let(spans_of(F.col("text"), UNIT, None), lambda known: F.transform("hits", lambda h: one(known, h))).alias("more"))
     more = F.filter(F.coalesce("more", F.array().cast("array<struct<kind:int,start:int,end:int,value:string>>")), lambda s: ~_overlaps(s, F.col("seeds")))
     return found.join(added, "row", "left").select(F.col("key").alias(key), F.concat(seeds, named(more, [f"learned_{k}" for k in SEEDS])).alias("spans"))
 
