@@ -2,17 +2,20 @@
 
 Two fingerprints within `radius` = 3 bits differ by at most 1 bit in one of their 32-bit halves.
 So each half gets a vantage-point tree under the Hamming distance of that half, queried with radius
-1: at every level a fixed vantage point splits the fingerprints at the median distance, which an
-exact histogram over all of them gives, and a fingerprint whose distance is so near the boundary
-that the triangle bound can't rule out a partner beyond it is also sent there as a boundary copy. The leaves
-are the shards. Only about one in seven fingerprints is near a boundary, so the copies grow as the
-input to the power 0.23, while a radius of 3 over all 64 bits would cost a power of 0.55.
-
-Within a shard the pairs are exact: a fingerprint is compared with those that the triangle bound to
-one more vantage point leaves, on all 64 bits. A shard emits a spanning forest of its links, never
-all pairs, and what is linked already is not compared again; a group of thousands of near copies
-costs one pass. Components then form by alternating large-star and small-star steps over tables in
-the shared folder.
+1: every node has a vantage point of its own, a member, and the radius that parts its fingerprints
+best, which an exact histogram of their distances gives. A fingerprint whose distance is so near the
+boundary that the triangle bound can't rule out a partner beyond it is also sent there as a boundary
+copy. About one in seven fingerprints is near a boundary where they are spread evenly, more where
+they agree in many bits; a radius of 3 over all 64 bits would copy 28 % at every level.
+
+The upper tree is grown level by level with one record per node on the driver: nodes are split while
+they hold more than SHARD fingerprints, and SHARD grows with the input so that there are some
+thousands of nodes at most. Its leaves are the shards. A task splits its shard further in the same way,
+until a part holds LEAF fingerprints; what agrees in the half goes on by the distance of all 64 bits. Within a part
+the pairs are exact: a fingerprint is compared with those that the triangle bound to one more vantage
+point leaves, on all 64 bits. A part emits a spanning forest of its links, never all pairs, and what
+is linked already is not compared again; a group of thousands of near copies costs one pass.
+Components then form by alternating large-star and small-star steps over tables in the shared folder.
 
 Defined cases: a text without words has fingerprint zero and links like any other; null counts as
 empty; a null doc_id takes part but is never the smallest unless the whole component has none; rows with one
@@ -26,13 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, materialize, quoted, table
 
-#: Distinct fingerprints a leaf holds on average; the depth of the trees follows from it.
-LEAF = 2048
+#: Fingerprints of a part, and of a shard at least; shards are at most some MAX_SHARDS.
+LEAF, SHARD = 2048, 16_384
+MAX_SHARDS = 1 << 13
 RADIUS = 3
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -73,61 +77,129 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint",
     return rows.mapInArrow(work, schema)
 
 
-def vantage(half: int, level: int) -> int:
-    """A fixed pseudo-random 32-bit vantage point."""
-    return xxhash.xxh64_intdigest(f"{half}/{level}", 7) & 0xFFFFFFFF
+def _part(fps: np.ndarray, half: np.ndarray | int) -> np.ndarray:
+    """The half (0: low, 1: high) of each fingerprint."""
+    return np.where(np.asarray(half) == 1, fps >> np.uint64(32), fps & np.uint64(0xFFFFFFFF))
 
 
-def _half(fp: Column, half: int) -> Column:
-    return F.shiftrightunsigned(fp, 32) if half else fp.bitwiseAND(0xFFFFFFFF)
+def split_radius(counts: np.ndarray, reach: int) -> int | None:
+    """The largest distance of the inner side that makes the larger child, copies included, least; None if no radius parts them.
 
-
-def _distance(fp: Column, half: int, level: int) -> Column:
-    return F.bit_count(_half(fp, half).bitwiseXOR(F.lit(vantage(half, level))))
+    counts are fingerprints by distance. What the inner side has within `reach` of the boundary is copied out.
+    """
+    inner = np.cumsum(counts)
+    before = np.concatenate([np.zeros(reach, np.int64), inner])[: len(inner)]  # inner side beyond the reach
+    outer = inner[-1] - before
+    larger = np.maximum(inner, outer)[:-1]
+    if not len(larger) or 10 * larger.min() > 9 * inner[-1]:
+        return None
+    return int(np.argmin(larger))
 
 
-def split_radii(prints: DataFrame, depth: int) -> dict[tuple[int, int], int]:
-    """(half, level) -> the largest distance of the inner side, the one that halves all fingerprints best.
+class Tree:
+    """The upper nodes: number -> (vantage point, radius, reach). Node 2 + half is a root, 2n and 2n + 1 are n's sides.
 
-    The histogram that reaches the driver has at most 33 rows per half and level.
-    """
-    if not depth:
-        return {}
-    at = [(h, level) for h in (0, 1) for level in range(depth)]
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), _distance(F.col("fp"), *x).alias("d")) for k, x in enumerate(at))))
-    seen = prints.select(each.alias("x")).groupBy("x.k", "x.d").count().collect()
-    radii = {}
-    for k, x in enumerate(at):
-        counts = np.zeros(33, np.int64)
-        for row in seen:
-            if row["k"] == k:
-                counts[row["d"]] = row["count"]
-        inner = np.cumsum(counts)
-        radii[x] = int(np.argmin(np.abs(2 * inner - inner[-1])))
-    return radii
-
-
-def shards(prints: DataFrame, depth: int, radii: dict[tuple[int, int], int]) -> DataFrame:
-    """(leaf, fp): each fingerprint in its leaf, and in every leaf beyond a boundary within reach.
-
-    Of a pair that straddles a boundary one side is sent over, so the inner one goes to the outer
-    side when it is within 1 of it; both then meet there.
+    Reach 1 goes with the distance of the half, reach RADIUS with that of all 64 bits.
     """
 
+    def __init__(self, nodes: dict[int, tuple[int, int, int]]):
+        self.nodes = np.array(sorted(nodes), np.int64)
+        self.points = np.array([nodes[n][0] for n in sorted(nodes)], np.uint64)
+        self.radii = np.array([nodes[n][1] for n in sorted(nodes)], np.int64)
+        self.reach = np.array([nodes[n][2] for n in sorted(nodes)], np.int64)
+
+    def leaves(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(index, leaf) of each fingerprint in each leaf that it or a partner within reach can be in."""
+        row, half = np.tile(np.arange(len(fps)), 2), np.repeat([0, 1], len(fps))
+        leaf, done = 2 + half, []
+        while len(row):
+            at = np.searchsorted(self.nodes, leaf)
+            inside = self.nodes[np.minimum(at, len(self.nodes) - 1)] == leaf if len(self.nodes) else np.zeros(len(row), bool)
+            done.append((row[~inside], leaf[~inside]))
+            row, half, leaf, at = row[inside], half[inside], leaf[inside], at[inside]
+            away = _away(fps[row], half, self.points[at], self.reach[at])
+            # of a pair that straddles the boundary the inner one is sent over; both then meet on the outer side
+            near = (away <= self.radii[at]) & (away > self.radii[at] - self.reach[at])
+            leaf = np.concatenate([2 * leaf + (away > self.radii[at]), 2 * leaf[near] + 1])
+            row, half = np.concatenate([row, row[near]]), np.concatenate([half, half[near]])
+        return tuple(np.concatenate([d[i] for d in done]) for i in (0, 1))
+
+
+def _half_of(node: int) -> int:
+    return node >> (node.bit_length() - 2) & 1
+
+
+def _away(fps: np.ndarray, half, points: np.ndarray, reach) -> np.ndarray:
+    """Distances to whole vantage points, in the half or (with a reach over 1) in all bits."""
+    differ = fps ^ points
+    return np.bitwise_count(np.where(np.asarray(reach) == 1, _part(differ, half), differ)).astype(np.int64)
+
+
+def _placed(prints: DataFrame, tree: Tree, points: dict[int, int] | None = None, reach: int = 1) -> DataFrame:
+    """(leaf, fp); or (leaf, d), the distances to the vantage points of some leaves."""
+    known = prints.sparkSession.sparkContext.broadcast((tree, points))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, points = known.value
+        wanted = np.array(sorted(points or ()), np.int64)
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
-            for half in (0, 1):
-                row, leaf = np.arange(len(fps)), np.full(len(fps), 2 + half, np.int64)
-                part = (fps >> np.uint64(32)) if half else (fps & np.uint64(0xFFFFFFFF))
-                for level in range(depth):
-                    d = np.bitwise_count(part[row] ^ np.uint64(vantage(half, level)))
-                    near = d == radii[half, level]
-                    leaf = np.concatenate([2 * leaf + (d > radii[half, level]), 2 * leaf[near] + 1])
-                    row = np.concatenate([row, row[near]])
+            row, leaf = tree.leaves(fps)
+            if points is None:
                 yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(fps[row].view(np.int64))], names=["leaf", "fp"])
-
-    return prints.select("fp").mapInArrow(work, "leaf long, fp long")
+                continue
+            inside = wanted[np.minimum(np.searchsorted(wanted, leaf), len(wanted) - 1)] == leaf
+            row, leaf = row[inside], leaf[inside]
+            at = np.searchsorted(wanted, leaf)
+            half = np.array([_half_of(n) for n in wanted.tolist()])[at]
+            away = _away(fps[row], half, np.array([points[n] for n in wanted.tolist()], np.uint64)[at], reach)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(away)], names=["leaf", "d"])
+
+    return prints.select("fp").mapInArrow(work, "leaf long, fp long" if points is None else "leaf long, d long")
+
+
+def grow(prints: DataFrame, n: int) -> Tree:
+    """The upper tree of n distinct fingerprints. What reaches the driver is a row per large node, and its histogram of at most 65 rows."""
+    most = max(SHARD, n // MAX_SHARDS)
+    nodes: dict[int, tuple[int, int, int]] = {}
+    whole: set[int] = set()  # nodes that no radius parts
+    while n > most:
+        tree = Tree(nodes)
+        sizes = _placed(prints, tree).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("fp"))
+        points = {r["leaf"]: r["fp"] & (1 << 64) - 1 for r in sizes.filter(F.col("n") > most).collect() if r["leaf"] not in whole}
+        if not points:
+            break
+        for reach in (1, RADIUS):  # by the half, and by all bits what agrees in the half
+            left = {leaf: point for leaf, point in points.items() if leaf not in nodes}
+            histograms = {leaf: np.zeros(65, np.int64) for leaf in left}
+            for r in _placed(prints, tree, left, reach).groupBy("leaf", "d").count().collect() if left else ():
+                histograms[r["leaf"]][r["d"]] = r["count"]
+            for leaf, counts in histograms.items():
+                radius = split_radius(counts, reach)
+                if radius is not None:
+                    nodes[leaf] = (points[leaf], radius, reach)
+        whole |= points.keys() - nodes.keys()
+    return Tree(nodes)
+
+
+def parts(fps: np.ndarray, half: int) -> Iterator[np.ndarray]:
+    """Parts of a shard of at most LEAF fingerprints (more if nothing parts them) such that linked pairs near in that half meet in one."""
+    todo = [fps]
+    while todo:
+        fps = todo.pop()
+        split = None
+        if len(fps) > LEAF:
+            point = fps[len(fps) // 2]
+            for reach in (1, RADIUS):
+                away = _away(fps, half, point, reach)
+                radius = split_radius(np.bincount(away, minlength=65), reach)
+                if radius is not None:
+                    split = (fps[away <= radius], fps[away > radius - reach])
+                    break
+        if split is None:
+            yield fps
+        else:
+            todo += split
 
 
 def forest(prints: np.ndarray, radius: int = RADIUS, point: int = 0x9E3779B97F4A7C15) -> list[tuple[int, int]]:
@@ -155,37 +227,32 @@ def forest(prints: np.ndarray, radius: int = RADIUS, point: int = 0x9E3779B97F4A
     return links
 
 
-def links(prints: DataFrame, label: str = "simhash") -> DataFrame:
+def links(prints: DataFrame) -> DataFrame:
     """(a, b): links between distinct fingerprints fp that span every component of each shard."""
-    n = prints.count()
-    depth = 0
-    while n * 0.57**depth > LEAF:
-        depth += 1
-    leaves = shards(prints, depth, split_radii(prints, depth))
+    shards = _placed(prints, grow(prints, prints.count()))
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # rows come sorted by leaf; a leaf may go over several batches
-        def done(held):
-            fps = np.concatenate(held).view(np.uint64)
-            found = forest(fps)
-            a, b = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
-            fps = fps.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(fps[a]), pa.array(fps[b])], names=["a", "b"])
+        def done(leaf, held):
+            for fps in parts(np.concatenate(held).view(np.uint64), _half_of(leaf)):
+                found = np.array(forest(fps), np.int64).reshape(-1, 2)
+                fps = fps.view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(fps[found[:, 0]]), pa.array(fps[found[:, 1]])], names=["a", "b"])
 
         leaf, held = None, []
         for batch in batches:
             names, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cuts = np.flatnonzero(names[1:] != names[:-1]) + 1
-            for name, part in zip(names[np.concatenate([[0], cuts])] if len(names) else [], np.split(fps, cuts)):
+            for name, part in zip(names[np.concatenate([[0], cuts])].tolist() if len(names) else [], np.split(fps, cuts)):
                 if name != leaf and held:
-                    yield done(held)
+                    yield from done(leaf, held)
                     held = []
                 leaf = name
                 held.append(part)
         if held:
-            yield done(held)
+            yield from done(leaf, held)
 
-    dealt = leaves.repartition("leaf").sortWithinPartitions("leaf", "fp")
+    dealt = shards.repartition("leaf").sortWithinPartitions("leaf", "fp")
     return dealt.mapInArrow(within, "a long, b long").distinct()
 
 
@@ -227,11 +294,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return prints.join(classes, fp).select(F.col("id").alias(key), hexed, "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that hold the smallest key of their component."""
-    kept, component = free_name(docs, "kept_key"), "component_id"
-    classes = near_duplicates(docs, key, text)
-    stay = classes.filter(quoted(key).eqNullSafe(F.col(component))).select(quoted(key).alias(kept)).distinct()
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3, similarity: float | None = None) -> DataFrame:
+    """The rows of docs that hold the smallest key of their component.
+
+    Without a similarity fingerprints of three-word shingles link; with one, texts that are so similar by
+    the Jaccard measure of their shingles, found by fingerprints first and completely then (see similar.py).
+    """
+    if similarity is None:
+        classes = near_duplicates(docs, key, text)
+    else:
+        from . import similar
+
+        classes = similar.near_duplicates(docs, key, text, words, similarity)
+    kept = free_name(docs, "kept_key")
+    stay = classes.filter(quoted(key).eqNullSafe(F.col("component_id"))).select(quoted(key).alias(kept)).distinct()
     return docs.join(stay, quoted(key).eqNullSafe(quoted(kept)), "left_semi")
 
 

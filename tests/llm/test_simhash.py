@@ -35,6 +35,7 @@ def roots(prints):
 @pytest.mark.parametrize("leaf", [4, 100_000])
 def test_near_duplicates_against_brute_force(spark, monkeypatch, leaf):
     monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "SHARD", 2 * leaf)
     rows = documents(80)
     got = simhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
     prints = [fingerprint(t) for _, t, *_ in rows]
@@ -49,6 +50,7 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, leaf):
 @pytest.mark.parametrize("leaf", [2, 16])
 def test_links_of_clustered_and_chained_fingerprints(spark, monkeypatch, leaf):
     monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "SHARD", 2 * leaf)
     rng = random.Random(2)
     prints = {rng.getrandbits(64) for _ in range(150)}
     for seed in list(prints)[:10]:
@@ -66,6 +68,39 @@ def test_links_of_clustered_and_chained_fingerprints(spark, monkeypatch, leaf):
     assert sorted(map(sorted, classes.values())) == sorted(map(sorted, want.values()))
 
 
+@pytest.mark.parametrize("agree", [0.5, 0.9, 1.0])
+def test_parts_are_bounded_and_lose_no_pair(agree):
+    """Fingerprints of which each bit is set with that probability; with 1.0 all agree in the low half."""
+    rng = np.random.default_rng(3)
+    bits = rng.random((6000, 64)) < agree
+    if agree == 1.0:
+        bits[:, :32] = rng.random((6000, 32)) < 0.5
+    fps = np.unique(np.packbits(bits, axis=1).view(">u8").astype(np.uint64).ravel())
+    fps = np.unique(np.concatenate([fps, fps[:300] ^ np.uint64(0b1001), fps[300:600] ^ np.uint64(1 << 63 | 1 << 40)]))
+    seen = {0: set(), 1: set()}
+    for half in (0, 1):
+        sizes = []
+        for part in simhash.parts(fps, half):
+            sizes.append(len(part))
+            near = np.argwhere(np.triu(np.bitwise_count(part[:, None] ^ part[None, :]) <= 3, 1))
+            seen[half] |= {(int(min(part[i], part[j])), int(max(part[i], part[j]))) for i, j in near}
+        assert max(sizes) <= simhash.LEAF and sum(sizes) < 4 * len(fps)
+    near = np.argwhere(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3, 1))
+    assert seen[0] | seen[1] == {(int(fps[i]), int(fps[j])) for i, j in near}
+
+
+def test_the_upper_tree_parts_skewed_fingerprints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 500)
+    rng = np.random.default_rng(4)
+    fps = np.unique(np.packbits(rng.random((8000, 64)) < 0.9, axis=1).view(">u8").astype(np.uint64).ravel())
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    tree = simhash.grow(df, len(fps))
+    _, leaf = tree.leaves(fps)
+    sizes = np.unique(leaf, return_counts=True)[1]
+    # what crowds around one point is parted least
+    assert sizes.max() < len(fps) // 4 and np.median(sizes) <= 500 and len(set(tree.points.tolist())) > 10
+
+
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1300)] + [(5, 5)]
     got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
