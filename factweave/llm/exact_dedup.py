@@ -1,11 +1,13 @@
 """Exact deduplication in the manner of a Grace hash join.
 
-Records are partitioned by a hash of their normalised text. Spark's shuffle files and tables in the
-shared folder are the spill files, so a lost executor costs a retry and nothing is kept on one
-machine's disk. Each bucket streams through an open-addressing table that compares complete
-content. A table that is full admits no further content: known contents still find their entry,
-while the rest goes, with all its copies, to the next level, which partitions it by other bits of
-the hash into as many buckets as its size needs. Every level is done when nothing is left over.
+Records are partitioned by a hash of their normalised text into as many buckets as the input's size needs.
+Spark's shuffle files and tables in the shared folder are the spill files, so a lost executor costs a
+retry and nothing is kept on one machine's disk. Where that would be more buckets than a shuffle can have,
+a bucket has several parts by further bits of the hash: Spark's external sort brings them one after the
+other, and each gets a table of its own, so one level does any amount. A part streams through an
+open-addressing table that compares complete content. A table that is full admits no further content:
+known contents still find their entry, while the rest goes, with all its copies, to the next level, which
+partitions it by other bits. Every level is done when nothing is left over.
 
 Copies meet first within a map task, so a text that makes up a third of all rows reaches its bucket
 about once per map task, not once per row.
@@ -30,7 +32,7 @@ from .common import SPACE, free_name, materialize, quoted, table
 #: Bytes that the table of one task holds, and what an entry takes besides its content.
 TABLE_BYTES = 96 << 20
 ENTRY_BYTES = 512
-#: Most buckets of a level after the first, as a shuffle can't have any number; what they can't hold recurses.
+#: Most buckets of a level, as a shuffle can't have any number; beyond it buckets have parts.
 MAX_BUCKETS = 1 << 16
 MAP_BYTES = 32 << 20
 
@@ -108,11 +110,11 @@ def distinct_contents(docs: DataFrame, text: str = "text", key: str = "doc_id",
     the most code points stays, then the one with the smallest key. Without keep_text the text is
     null in the result, once its bucket is done with it.
     """
-    digest, size, points, over = (free_name(docs, x) for x in ("text_sha256", "group_size", "code_points", "overflow"))
+    digest, size, points, over, part = (free_name(docs, x) for x in ("text_sha256", "group_size", "code_points", "overflow", "bucket_part"))
     kind = docs.schema[text].dataType
     rows = docs.withColumns({
         text: quoted(text).cast("binary"), digest: F.lit(None).cast("binary"), size: F.lit(1).cast("long"),
-        points: F.length(F.coalesce(quoted(text), F.lit(""))), over: F.lit(False),
+        points: F.length(F.coalesce(quoted(text), F.lit(""))), over: F.lit(False), part: F.lit(0).cast("long"),
     })
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
 
@@ -128,14 +130,23 @@ def distinct_contents(docs: DataFrame, text: str = "text", key: str = "doc_id",
             yield from _combine(pa.Table.from_batches(held), text, key, digest, points, size).to_batches(2000)
 
     def bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, best = ContentTable(), []
+        known, best, at_part = ContentTable(), [], None
         arrow = None
+
+        def stay() -> Iterator[pa.RecordBatch]:
+            for start in range(0, len(best), 2000):
+                some = best[start : start + 2000] if keep_text else [r | {text: None} for r in best[start : start + 2000]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in some], f.type) for f in arrow], schema=arrow)
+
         for batch in batches:
             arrow = batch.schema
             names = arrow.names
             left = []
             for i, row in enumerate(zip(*(c.to_pylist() for c in batch.columns))):
                 row = dict(zip(names, row))
+                if row[part] != at_part:
+                    yield from stay()
+                    known, best, at_part = ContentTable(), [], row[part]
                 content = (row[text] or b"").translate(None, SPACE.encode())
                 h = int.from_bytes(row[digest][8:16], "little")
                 entry, at = known.find(content, h)
@@ -154,24 +165,30 @@ def distinct_contents(docs: DataFrame, text: str = "text", key: str = "doc_id",
                 rest = batch.take(pa.array(left, pa.int64()))
                 flags = pa.array([True] * len(left), pa.bool_())
                 yield pa.RecordBatch.from_arrays([flags if name == over else c for name, c in zip(names, rest.columns)], schema=arrow)
-        for start in range(0, len(best), 2000):
-            some = best[start : start + 2000] if keep_text else [r | {text: None} for r in best[start : start + 2000]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[f.name] for r in some], f.type) for f in arrow], schema=arrow)
-
+        yield from stay()
+
+    def dealt(rows: DataFrame, level: int, n: int, bytes_: int) -> DataFrame:
+        # so many tables that each is filled by half
+        tables = -(-4 * (bytes_ + n * ENTRY_BYTES) // table_bytes)
+        buckets = min(MAX_BUCKETS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), tables))
+        by = rows.repartition(buckets, F.xxhash64(quoted(digest), F.lit(level)))
+        if tables <= buckets:
+            return by
+        return by.withColumn(part, F.pmod(F.xxhash64(quoted(digest), F.lit(~level)), F.lit(-(-tables // buckets)))).sortWithinPartitions(part)
+
+    # the first level is sized by the whole input, before copies meet in the map tasks
+    n, bytes_ = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(quoted(text)))).first()
     rows = rows.mapInArrow(before_shuffle, schema)
-    done, level, fan_out = None, 0, ()
+    done, level = None, 0
     while True:
-        out = materialize(rows.repartition(*fan_out, F.xxhash64(quoted(digest), F.lit(level))).mapInArrow(bucket, schema), "dedup-level")
+        out = materialize(dealt(rows, level, n, bytes_ or 0).mapInArrow(bucket, schema), "dedup-level")
         done = out if done is None else done.filter(~quoted(over)).unionByName(out)
-        rows = out.filter(quoted(over)).withColumn(over, F.lit(False))
+        rows = out.filter(quoted(over)).withColumns({over: F.lit(False), part: F.lit(0).cast("long")})
         level += 1
         n, bytes_ = rows.agg(F.count(F.lit(1)), F.sum(F.octet_length(quoted(text)))).first()
         if not n:
             break
-        # so many buckets that each fills a table by half
-        need = 2 * ((bytes_ or 0) + n * ENTRY_BYTES)
-        fan_out = (min(MAX_BUCKETS, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * need // table_bytes))),)
-    stay = done.filter(~quoted(over)).withColumns({text: quoted(text).cast(kind), digest: F.lower(F.hex(quoted(digest)))}).drop(over)
+    stay = done.filter(~quoted(over)).withColumns({text: quoted(text).cast(kind), digest: F.lower(F.hex(quoted(digest)))}).drop(over, part)
     return stay, digest, size, points
 
 

@@ -49,6 +49,17 @@ def test_levels_get_the_buckets_that_their_size_needs(spark, monkeypatch):
     assert len(levels) <= 3
 
 
+def test_buckets_have_parts_where_a_shuffle_cannot_have_more(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MAX_BUCKETS", 4)
+    levels, write = [], exact_dedup.materialize
+    monkeypatch.setattr(exact_dedup, "materialize", lambda df, label: levels.append(label) or write(df, label))
+    rows = [(i, f"text {i % 3000}", i) for i in range(3300)]
+    stay, _, size, _ = exact_dedup.distinct_contents(spark.createDataFrame(rows, "doc_id long, text string, bucket_part int"), table_bytes=100_000)
+    got = {r["doc_id"]: (r["text"], r[size], r["bucket_part"]) for r in stay.collect()}
+    assert got == {i: (f"text {i}", 2 if i < 300 else 1, i) for i in range(3000)}
+    assert len(levels) == 1  # 4 buckets of some 16 parts each; without them four tables would hold a fifteenth
+
+
 def test_deduplicate_keeps_whole_rows_and_clashing_columns(spark):
     rows = [(1, "a b", "x", 1.5), (2, "a  b", "y", 2.5), (2, "a  b", "y", 2.5), (3, None, None, None), (4, " ", "z", 0.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, text_sha256 string, group_size double")
