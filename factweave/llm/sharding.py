@@ -166,7 +166,7 @@ def shard_groups(docs: DataFrame, group_key: str, size: str, n_shards: int | Non
     if (n_shards is None) == (capacity is None):
         raise ValueError("give either n_shards or capacity")
     spark = docs.sparkSession
-    gsize, count, rank, shard, slot, grank = (free_name(docs, x) for x in ("gsize", "gcount", "row_rank", "shard", "slot", "group_rank"))
+    gsize, count, rank, shard, slot, grank, other, first = (free_name(docs, x) for x in ("gsize", "gcount", "row_rank", "shard", "slot", "group_rank", "group_key", "shard_first"))
     groups = docs.groupBy(quoted(group_key)).agg(F.sum(F.coalesce(quoted(size), F.lit(0))).alias(gsize), F.count(F.lit(1)).alias(count))
     ranked = global_rank(groups, [F.col(gsize).desc(), quoted(group_key)], grank, "shard-groups")
     histogram = [(r[0], r[1]) for r in ranked.groupBy(gsize).agg(F.count(F.lit(1)).alias(count)).orderBy(F.col(gsize).desc()).toPandas().itertuples(index=False)]
@@ -184,11 +184,11 @@ def shard_groups(docs: DataFrame, group_key: str, size: str, n_shards: int | Non
     placed = materialize(ranked.withColumn(shard, place(F.col(grank))), "shard-plan")
     # a null key joins with itself; AQE splits the copies of a hot group over tasks
     key = quoted(group_key)
-    joined = docs.join(placed.select(key.alias("_key"), grank, shard), key.eqNullSafe(F.col("_key"))).drop("_key")
+    joined = docs.join(placed.select(key.alias(other), grank, shard), key.eqNullSafe(F.col(other))).drop(other)
     ordered = global_rank(joined, [F.col(shard), F.col(grank), *([quoted("doc_id")] if "doc_id" in docs.columns else [])], rank, "shard-rows")
-    per_shard = placed.groupBy(shard).agg(F.sum(count).alias("_n"))
-    first = per_shard.select(shard, (F.expr(f"sum(_n) over (order by `{shard}`)") - F.col("_n")).alias("_first"))
-    return ordered.join(F.broadcast(first), shard).withColumn(slot, F.col(rank) - F.col("_first")).drop("_first", rank, grank)
+    per_shard = placed.groupBy(F.col(shard).alias("s")).agg(F.sum(count).alias("n"))
+    starts = per_shard.select(F.col("s").alias(other), (F.expr("sum(n) over (order by s)") - F.col("n")).alias(first))
+    return ordered.join(F.broadcast(starts), F.col(shard) == F.col(other)).select(*(quoted(c) for c in docs.columns), shard, (F.col(rank) - F.col(first)).alias(slot))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

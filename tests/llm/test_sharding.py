@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,6 +54,30 @@ def test_a_group_above_an_even_share_gets_a_shard_and_the_rest_is_even():
     assert sums[0] == 9000 and max(sums[1:]) - min(sums[1:]) <= 59
 
 
+@settings(max_examples=30, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=40), st.integers(2, 5))
+def test_the_capacity_is_the_least_that_the_bisection_can_trust(sizes, bins):
+    """By brute force: plan_even's largest shard is that of the least capacity from which on best-fit decreasing fits,
+    and no capacity below an even share was needed."""
+    runs = sharding.plan_even([(s, sizes.count(s)) for s in set(sizes)], bins)
+    sums = [0] * bins
+    for s, n, at in runs:
+        sums[at] += s * n
+    assert sum(sums) == sum(sizes) and Counter(s for s, n, _ in runs for _ in range(n)) == Counter(sizes)
+    alone = {at for s, n, at in runs if n == 1 and s * bins > sum(sizes)}
+    if not alone:
+        least = max(-(-sum(sizes) // bins), max(sizes))
+        plain = sorted(((s, sizes.count(s)) for s in set(sizes)), reverse=True)
+        fits = [c for c in range(least, sum(sizes) + 1) if sharding.best_fit_decreasing(plain, c, bins) is not None]
+        assert max(sums) <= max(c for c in fits if c == fits[0] or c - 1 not in fits)
+
+
+def test_names_that_clash(spark):
+    df = spark.range(20).select((F.col("id") % 3).alias("_key"), F.lit(2).cast("long").alias("_n"), F.lit(1).alias("_pid"), F.lit(1).alias("_first"))
+    out = sharding.shard_groups(df, "_key", "_n", n_shards=2)
+    assert out.columns == ["_key", "_n", "_pid", "_first", "shard", "slot"] and out.count() == 20
+
+
 def test_all_documents_get_a_shard_and_a_slot(spark, tmp_path):
     rows = documents()
     spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
