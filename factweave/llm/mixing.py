@@ -134,22 +134,31 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     return out.select(F.col("key").alias(key), F.col("source").alias(source), F.col("tokens").alias("n_tokens"), F.round("weight", 9).alias("weight"), "pass", "block", F.xxhash64(F.lit(seed), "h", "block").alias("place"))
 
 
-def realise(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", repetition: float = REPETITION, seed: int = SEED) -> DataFrame:
-    """docs with their own columns, each row as often as the mix under `cover` reads it.
+def realise(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", repetition: float = REPETITION, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
+    """docs with their own columns, each row as often as the mix under `cover` reads it, in reading order.
 
-    The last pass takes the documents up to a hash that is found per source, so no text is joined
-    or sorted: each document looks up its source's passes and that hash.
+    Partitions are stretches of blocks and their rows are sorted by block and place, so the files that
+    are written from them, read by name and row, are the mix. The last pass takes the documents up to a hash that
+    is found per source, and a row's share of the hash space stands for its share of the pass, so
+    texts are moved once and never joined: each document looks up its source's passes and that hash.
     """
     taken, shares = plan(docs, key, text, source, None, None, repetition, None, seed)
     cuts = taken.filter("pass = full").groupBy("source").agg(F.max("h").alias("cut"))
     both = shares.join(cuts.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
-    names = {c: free_name(docs, f"mix_{c}") for c in ("source", "full", "cut", "pass", "h")}
-    both = materialize(both.select(*(F.col(c).alias(names[c]) for c in ("source", "full", "cut"))), "mix-cuts")
+    names = {c: free_name(docs, f"mix_{c}") for c in ("source", "full", "cut", "t", "budget", "pass", "h", "block")}
+    both = materialize(both.select(*(F.col(c).alias(names[c]) for c in ("source", "full", "cut", "t", "budget"))), "mix-cuts")
+    blocks = -(-(both.agg(F.sum(quoted(names["budget"]))).first()[0] or 1) // block_tokens)
     seeded = docs.withColumn(names["h"], _hashed(docs, key, text, seed))
     wide = seeded.join(both, quoted(source).eqNullSafe(F.col(names["source"])))
     copies = wide.withColumn(names["pass"], F.explode(F.expr(f"sequence(0, cast({names['full']} as int))")))
-    last = F.xxhash64(names["h"], names["pass"]) <= F.col(names["cut"])
-    return copies.filter((F.col(names["pass"]) < F.col(names["full"])) | F.coalesce(last, F.lit(False))).select(*(quoted(c) for c in docs.columns))
+    copies = copies.withColumn(names["h"], F.xxhash64(names["h"], names["pass"]))
+    copies = copies.filter((F.col(names["pass"]) < F.col(names["full"])) | F.coalesce(F.col(names["h"]) <= F.col(names["cut"]), F.lit(False)))
+    at = (F.col(names["pass"]) + F.col(names["h"]) / F.lit(2.0**64) + 0.5) * F.col(names["t"]) / F.col(names["budget"])
+    placed = copies.withColumn(names["block"], F.least(F.floor(at * blocks), F.lit(blocks - 1)).cast("long"))
+    partitions = min(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = placed.repartitionById(partitions, F.expr(f"cast({names['block']} * {partitions} div {blocks} as int)"))
+    place = F.xxhash64(F.lit(seed), names["h"], names["block"])
+    return dealt.sortWithinPartitions(names["block"], place).select(*(quoted(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

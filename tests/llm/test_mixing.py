@@ -1,4 +1,5 @@
 import math
+import random
 from collections import Counter
 
 import pytest
@@ -89,6 +90,50 @@ def test_realise_agrees_with_mix_and_is_deterministic(spark):
     assert mixing.realise(clash).columns == clash.columns
 
 
+def plain_mix(rows, exponent, block_tokens):
+    """The mix in plain Python, given the engine's hashes: (key, tokens, pass, block) of every row that is read."""
+    size = totals([(r["key"], r["text"], None, r["source"], None) for r in rows])
+    power = {s: (n / max(size.values())) ** exponent for s, n in size.items()}
+    whole = max(size.values()) * sum(power.values())
+    budget = {s: round(p / sum(power.values()) * whole) for s, p in power.items()}
+    blocks = -(-sum(budget.values()) // block_tokens)
+    out = []
+    for s in size:
+        for n in range(budget[s] // size[s] + 1):
+            mine = sorted((r for r in rows if r["source"] == s), key=lambda r: r[f"h{n}"])
+            at = 0
+            for r in mine:
+                at += tokens(r["text"])
+                if n < budget[s] // size[s] or at <= budget[s] % size[s]:
+                    out.append((r["key"], tokens(r["text"]), n, min(blocks - 1, int((n * size[s] + at - tokens(r["text"])) / budget[s] * blocks))))
+    return sorted(out)
+
+
+def test_the_mix_against_plain_python(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(["w"] * rng.randint(0, 40)) + f" {i}", None, f"s{min(i % 13, 4)}", None) for i in range(500)]
+    df = spark.createDataFrame(rows, DOCS)
+    seeded = mixing._hashed(df, "doc_id", "text", mixing.SEED)
+    hashed = df.select(F.col("doc_id").alias("key"), "text", "source", *(F.xxhash64(seeded, F.lit(n)).alias(f"h{n}") for n in range(6)))
+    for exponent in (0.3, 1.0):
+        out = mixing.mix(df, exponent=exponent, block_tokens=700).collect()
+        assert sorted((r.doc_id, r.n_tokens, r["pass"], r.block) for r in out) == plain_mix([r.asDict() for r in hashed.collect()], exponent, 700)
+
+
+def test_realise_leaves_the_rows_in_the_order_of_the_mix(spark, tmp_path):
+    rows = [(i, f"word {i} x y z", None, "big" if i % 5 else "small", None) for i in range(4000)]
+    df = spark.createDataFrame(rows, DOCS)
+    mixing.realise(df, block_tokens=2000).write.parquet(str(tmp_path / "mix"))
+    read = spark.read.parquet(str(tmp_path / "mix"))
+    rows = read.select("doc_id", "source", "_metadata.file_name", "_metadata.row_index").orderBy("file_name", "row_index").collect()
+    small = [r.source == "small" for r in rows]
+    share = sum(small) / len(small)
+    for at in range(0, len(small) - 400, 400):  # every stretch has the sources by their weights
+        assert abs(sum(small[at : at + 400]) / 400 - share) < 0.1
+    once = mixing.realise(df.repartition(5), block_tokens=2000).select("doc_id").collect()
+    assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in once)
+
+
 def test_no_python_on_the_main_path(spark):
     plan = mixing.mix(spark.createDataFrame(documents(20), DOCS))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
