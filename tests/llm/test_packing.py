@@ -1,4 +1,5 @@
-from collections import Counter
+import random
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -6,6 +7,8 @@ from hypothesis import strategies as st
 
 from factweave.llm import packing
 
+from .data import WORD
+
 LENGTHS = (8, 16, 32)
 
 
@@ -45,6 +48,39 @@ def test_runs_follow_best_fit_decreasing_for_one_length(sizes):
     assert Counter(sum(b) for b in bins) == Counter({c: sum(n for _, n, _, x in got if x == c) for c in {x for _, _, _, x in got}})
 
 
+def textbook(sizes, lengths, cost):
+    """Best-fit decreasing over several lengths, item by item: (length, contents) of the bins."""
+    sizes, bins = sorted(sizes, reverse=True), []
+    for at, s in enumerate(sizes):
+        fits = [b for b in bins if b[0] - b[1] >= s]
+        if fits:
+            min(fits, key=lambda b: b[0] - b[1])[1] += s
+            continue
+        left, smaller = sizes[at:].count(s), [x for x in sizes if x < s]
+
+        def per_token(c):
+            own = min(c // s, left)
+            slack = c - own * s
+            filler = sum(x for x in smaller if x <= slack)
+            return cost(c, max(lengths)) / (own * s + min(slack, filler / -(-left // own))), c
+
+        bins.append([min((c for c in lengths if c >= s), key=per_token), s])
+    return Counter((min(c for c in lengths if c >= held), held) for _, held in bins)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 32), max_size=40))
+def test_runs_follow_best_fit_decreasing_for_several_lengths(sizes):
+    """Item by item, with the bin sizes opened for one run of equal pieces at a time."""
+    _, bins = packing.pack_lengths(dict(Counter(sizes)), LENGTHS)
+    got = Counter()
+    for _, n, length, held in bins:
+        got[length, held] += n
+    want = textbook(sizes, LENGTHS, packing.default_cost)
+    spent = lambda found: sum(n * packing.default_cost(c, 32) for (c, _), n in found.items())
+    assert sum(n * held for (_, held), n in got.items()) == sum(sizes) and spent(got) <= 1.1 * spent(want) + packing.default_cost(32, 32)
+
+
 def test_the_tree_finds_the_tightest():
     tree, held = packing.RoomTree(100), set()
     for room in (3, 97, 40, 41, 100, 0, 64):
@@ -77,6 +113,34 @@ def test_documents_are_cut_and_packed_whole(spark):
         assert g["bin_length"].iloc[0] == min(c for c in LENGTHS if c >= ends[-1])
 
 
+def test_sequences_hold_whole_texts_block_by_block(spark):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a", "bé", "\nc"]) for _ in range(rng.choice([0, 1, 7, 31, 32, 33, 64, 200]))) + rng.choice(["", " \t"]) for _ in range(300)] + [None, "   "]
+    df = spark.createDataFrame([(None if i == 5 else i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, bin_id int").coalesce(1)
+    rows = packing.sequences(df, lengths=LENGTHS, block_tokens=400).collect()
+    parts = defaultdict(dict)
+    for r in rows:
+        end = 0
+        for id_, piece, text in zip(r.doc_ids, r.pieces, r.texts):
+            assert piece.bin_offset == end
+            end += piece.n_tokens
+            assert piece.n_tokens == len(WORD.findall(text)) + piece.ends
+            parts[id_][piece.piece] = (text, piece.ends)
+        assert end == r.n_tokens <= r.bin_length == min(c for c in LENGTHS if c >= end)
+    assert len({r.bin_id for r in rows}) == len(rows)
+    for i, t in enumerate(texts):
+        mine = parts[None if i == 5 else i]
+        assert "".join(mine[k][0] for k in range(len(mine))) == (t or "") and [mine[k][1] for k in range(len(mine))] == [False] * (len(mine) - 1) + [True]
+    order = [min(-1 if i is None else i for i in r.doc_ids) for r in rows]
+    assert sum(abs(a - b) for a, b in zip(order, order[1:])) < 60 * len(order)  # neighbours in the table stay near
+    assert packing.sequences(df.limit(0), lengths=LENGTHS).count() == 0
+
+
+def test_names_that_clash(spark):
+    out = packing.pack(spark.createDataFrame([(1, 5, 7, 8)], "doc_id long, n_tokens long, _pid int, bin_id int"), lengths=LENGTHS)
+    assert out.columns == ["doc_id", "n_tokens", "_pid", "bin_id", "piece", "piece_start", "piece_tokens", "_bin_id", "bin_length", "bin_offset"] and out.count() == 1
+
+
 def test_nulls_and_empty(spark, tmp_path):
     spark.createDataFrame([(1, None), (1, None), (None, ""), (2, "a b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     out = packing.query(spark, str(tmp_path)).toPandas()
