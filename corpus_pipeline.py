@@ -1,11 +1,17 @@
-"""The corpus pipeline: documents through five operators, each stage written and read again."""
+"""The corpus pipeline: documents through five operators, each stage written and read again.
+
+Defined cases: null and empty texts fail the quality rules and go; a null doc_id is a document, but never
+the one that a near-duplicate group keeps unless the group has no other; repeated rows are exact copies, of which
+one stays; further columns are carried to the mix; an empty table gives no sequences; without labels only the
+base rules decide.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factweave.llm import exact_dedup, mixing, packing, quality, similar
-from factweave.llm.common import materialize, table
+from factweave.llm import exact_dedup, mixing, packing, quality, simhash
+from factweave.llm.common import materialize, scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,17 +26,17 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of texts that share 0.8 of their five-word shingles."""
-    return similar.one_of_each(docs)
+    return simhash.one_of_each(docs, words=5, similarity=0.8)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats documents of small sources until no source is read more than twice; drops none."""
+    """Repeats documents of small sources until no source is read more than twice, in the order of the mix; drops none."""
     return mixing.realise(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs documents into sequences: doc_id, n_tokens, piece and its place in a bin."""
-    return packing.pack(docs.select("doc_id", mixing.token_count().alias("n_tokens")))
+    """Lays the documents out in sequences, block by block in reading order: one row per sequence with its texts."""
+    return packing.sequences(docs)
 
 
 STAGES = [
@@ -48,7 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = materialize(docs, f"pipeline-{i}")
+        with scratch(spark):  # what a stage wrote on the way goes once its result is written
+            docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{i}", outlive=True)
     return docs

@@ -1,18 +1,22 @@
-"""Near-duplicates by word shingles: links all pairs with a Jaccard similarity of at least `similarity`.
-
-The search is complete. A text is the set of the hashes of its lower-cased word shingles; texts with one set are one
-node. Two similar sets share one of their first n - ceil(similarity * n) + 1 hashes in any order that is common to
-all sets, so an index of these prefixes holds every pair. The order puts frequent shingles last, which decides the speed only:
+"""SimHash near-duplicates with a similarity: links all pairs with a Jaccard similarity of at least `similarity`.
+
+The whole form of simhash.one_of_each, for the pipeline. Fingerprints within three bits find the nearest
+copies through the vantage-point trees; an exact check of the shingle sets follows. Fingerprints alone would miss
+most pairs at 0.8 (they differ in about ten bits there), so the search is then completed: a text is the
+set of the hashes of its lower-cased word shingles, texts with one set are one node, and two similar sets share one of
+their first n - ceil(similarity * n) + 1 hashes in any order that is common to all sets, so an index of
+these prefixes holds every pair. The order puts frequent shingles last, which decides the speed only:
 a passage that many texts share then stands in no prefix, unless it makes up most of the text.
 
-Large groups don't become all their pairs: first every list of the index links to its smallest node;
-what is in one component by then needs no further comparison, and only nodes of different components that meet in a
-list are compared. A pair first passes a bound that no similar pair fails (parity sketches differ in at most as many bits as the
-sets do in elements), then the exact count on the texts.
+Large groups don't become all their pairs: first every node is compared with its nearest smallest
+node of a list; what is in one component by then needs no further comparison, and only nodes of different
+components that meet in a list are compared. A pair first passes two bounds that no similar pair fails (the
+sizes' ratio; parity sketches differ in at most as many bits as the sets do in elements), then the
+exact count on the texts. Texts are read again where they are needed and never copied for all documents.
 
 Defined cases: texts of fewer words have one shingle; texts without words are alike; null counts as
 empty; a null key takes part but is never the smallest unless the whole component has none; an empty
-table gives an empty result. Hashes and names of sets have 64 bits.
+table gives an empty result. Hashes and names of sets and texts have 64 bits.
 """
 
 from __future__ import annotations
@@ -25,9 +29,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import free_name, materialize, quoted
-from .simhash import _LOWER, components
+from .common import materialize, quoted, scratch
+from .simhash import _LOWER, _WEIGHTS, components, links
 
 WORDS, SIMILARITY = 5, 0.8
 #: Shingles counted at a time, and the counts from which a shingle goes last; they decide the speed only.
@@ -35,10 +40,12 @@ COUNTED, SEEN, FREQUENT, MOST = 500_000, 3, 32, 100_000
 #: Texts worked on at a time.
 ROWS = 500
 SKETCH = 1024
+#: Names of texts that are sent to the tasks that read them; more of them meet in a shuffle.
+SENT = 2_000_000
 
 
-def shingles(text: bytes, words: int) -> np.ndarray:
-    """The sorted distinct hashes of the word shingles."""
+def shingles(text: bytes, words: int, repeats: bool = False) -> np.ndarray:
+    """The sorted distinct hashes of the word shingles; or all of them, in order."""
     tokens = text.translate(_LOWER).split()
     if not tokens:
         return np.zeros(0, np.uint64)
@@ -47,7 +54,14 @@ def shingles(text: bytes, words: int) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = min(words, len(tokens)) - 1
     hashed = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((hashed(joined[s:e], 42) for s, e in zip(starts.tolist(), ends[last:].tolist())), np.uint64))
+    found = np.fromiter((hashed(joined[s:e], 42) for s, e in zip(starts.tolist(), ends[last:].tolist())), np.uint64)
+    return found if repeats else np.unique(found)
+
+
+def _fingerprint(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes, repeats included."""
+    ones = sum((np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) for at in range(0, len(hashes), 65536)), np.zeros(64, np.int64))
+    return int(_WEIGHTS[2 * ones > len(hashes)].sum(dtype=np.uint64))
 
 
 def sketch(hashes: np.ndarray) -> bytes:
@@ -62,85 +76,94 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """(id, text, node, n, sketch s) of docs (id, text); also rows with n < 0: shingle `node` stands in -n texts of some."""
+    """(id, tid, node, n, sketch s, fp) of docs (id, tid, text); also rows with n < 0: shingle `node` stands in -n texts of some."""
+    schema = docs.drop("text").withColumns({"node": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "s": F.lit(None).cast("binary"), "fp": F.lit(None).cast("long")}).schema
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
+    names = [f.name for f in schema]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, names = [], 0, ["id", "text", "node", "n", "s"]
+        held, size = [], 0
 
         def counted():
             some, counts = np.unique(np.concatenate(held), return_counts=True)
             some, counts = some[counts >= SEEN], counts[counts >= SEEN]
             held.clear()
-            none = [pa.nulls(len(some), kind) for kind in (schema.field("id").type, schema.field("text").type, pa.binary())]
-            return pa.RecordBatch.from_arrays([*none[:2], pa.array(some.view(np.int64)), pa.array(-counts, pa.int64()), none[2]], names=names)
+            none = [pa.nulls(len(some), kind) for kind in (own, pa.int64(), pa.binary(), pa.int64())]
+            return pa.RecordBatch.from_arrays([*none[:2], pa.array(some.view(np.int64)), pa.array(-counts, pa.int64()), *none[2:]], names=names)
 
         for batch in _pieces(batches):
-            schema, nodes, sizes, sketches = batch.schema, [], [], []
-            for t in batch.column(1):
-                h = shingles(t.as_py() or b"", words)
+            own, nodes, sizes, sketches, prints = batch.schema.field("id").type, [], [], [], []
+            for t in batch.column(2):
+                whole = shingles(t.as_py() or b"", words, repeats=True)
+                h = np.unique(whole)
+                prints.append(_fingerprint(whole))
                 nodes.append(xxhash.xxh64_intdigest(h.tobytes(), 42))
                 sizes.append(len(h))
                 sketches.append(sketch(h))
                 held.append(h)
             size += sum(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(nodes, np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())], names=names)
+            whole = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (nodes, prints)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), whole[0], pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary()), whole[1]], names=names)
             if size > COUNTED:
                 yield counted()
                 size = 0
         if held:
             yield counted()
 
-    schema = docs.withColumns({"node": F.lit(0).cast("long"), "n": F.lit(0).cast("long"), "s": F.lit(None).cast("binary")}).schema
     return docs.mapInArrow(work, schema)
 
 
-def _index(sets: DataFrame, words: int, least: Fraction, frequent: np.ndarray) -> DataFrame:
-    """(h, node): every set under the hashes of its prefix."""
-    known = sets.sparkSession.sparkContext.broadcast(np.sort(frequent))
+def _index(docs: DataFrame, words: int, least: Fraction, frequent: np.ndarray) -> DataFrame:
+    """(h, node, n): every set, with its size, under the hashes of its prefix."""
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = np.append(known.value, known.value[-1:] if len(known.value) else np.uint64(0))
         for batch in _pieces(batches):
-            rows = []
+            rows, nodes, sizes = [], [], []
             for t in batch.column(0):
                 h = shingles(t.as_py() or b"", words)
                 common = last[np.searchsorted(last[:-1], h)] == h if len(last) > 1 else np.zeros(len(h), bool)
-                rows.append(np.concatenate([h[~common], h[common]])[: len(h) - -(-least.numerator * len(h) // least.denominator) + 1])
+                rows.append(np.concatenate([h[~common], h[common]])[: len(h) - -(-least.numerator * len(h) // least.denominator) + 1 if len(h) else 0])
+                nodes.append(xxhash.xxh64_intdigest(h.tobytes(), 42))
+                sizes.append(len(h))
             each = np.fromiter(map(len, rows), np.int64, len(rows))
             hashes = np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.repeat(batch.column(1).to_numpy(), each))], names=["h", "node"])
+            own = np.array(nodes, np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.repeat(own, each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], names=["h", "node", "n"])
 
-    return sets.filter("n > 0").select("text", "node").mapInArrow(work, "h long, node long")
+    return docs.select("text").mapInArrow(work, "h long, node long, n int")
 
 
 def _lists(index: DataFrame) -> DataFrame:
-    """(h, node, center): the lists of at least two nodes, with their smallest; one shuffle, and no list is held."""
+    """(h, node, n, center, size): the lists of at least two nodes, with their smallest and its size; one shuffle, and no list is held."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h0 = center = last = None
+        h0 = center = size = last = None
         alone = False
         for batch in batches:
-            hs, nodes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            hs, nodes, sizes = (batch.column(i).to_numpy() for i in range(3))
             if not len(hs):
                 continue
             # most hashes stand once: only rows next to one of the same hash are looked at, and those at the ends
             same = np.concatenate([[False], hs[1:] == hs[:-1], [False]])
             look = np.flatnonzero(same[1:] | same[:-1] | (np.arange(len(hs)) % max(1, len(hs) - 1) == 0))
             out = []
-            for h, node in zip(hs[look].tolist(), nodes[look].tolist()):
+            for h, node, n in zip(hs[look].tolist(), nodes[look].tolist(), sizes[look].tolist()):
                 if h != h0:
-                    h0, center, last, alone = h, node, node, True
+                    h0, center, size, last, alone = h, node, n, node, True
                 elif node != last:
-                    out += [(h, center, center)] if alone else []
-                    out.append((h, node, center))
+                    out += [(h, center, size, center, size)] if alone else []
+                    out.append((h, node, n, center, size))
                     last, alone = node, False
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["h", "node", "center"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["h", "node", "n", "center", "size"])
 
-    return index.repartition("h").sortWithinPartitions("h", "node").mapInArrow(work, "h long, node long, center long")
+    return index.repartition("h").sortWithinPartitions("h", "node").mapInArrow(work, "h long, node long, n int, center long, size int")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, words: int, least: Fraction, label: str) -> DataFrame:
-    """Those of pairs (a, b) that are similar."""
+def _near(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """(a, b, differ) for those of pairs (a, b) that the bounds leave."""
     p, q = least.numerator, least.denominator
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +174,16 @@ def _similar(pairs: DataFrame, sets: DataFrame, words: int, least: Fraction, lab
             s, t = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(a), -1) for i in (4, 5))
             differ = np.bitwise_count(s ^ t).sum(axis=1, dtype=np.int64)
             stay = ((q + p) * differ <= (q - p) * (n + m)) & (q * np.minimum(n, m) >= p * np.maximum(n, m))
-            yield pa.RecordBatch.from_arrays([pa.array(a[stay]), pa.array(b[stay])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[stay]), pa.array(b[stay]), pa.array(differ[stay])], names=["a", "b", "differ"])
+
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("s").alias("s"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "s", "t").mapInArrow(near, "a long, b long, differ long")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, least: Fraction, label: str) -> DataFrame:
+    """Those of the written pairs (a, b) that are similar, by their texts."""
+    p, q = least.numerator, least.denominator
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, own = None, None
@@ -165,50 +197,60 @@ def _similar(pairs: DataFrame, sets: DataFrame, words: int, least: Fraction, lab
                 stay.append(q * both >= p * (len(own) + len(other) - both))
             yield batch.select([0, 1]).filter(pa.array(stay, pa.bool_()))
 
-    short = sets.filter("n > 0").dropDuplicates(["node"])
-    one = short.select(F.col("node").alias("a"), F.col("n").alias("n"), F.col("s").alias("s"))
-    two = short.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("s").alias("t"))
-    left = materialize(pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "s", "t").mapInArrow(near, "a long, b long"), f"{label}-near")
-    touched = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = materialize(sets.filter("n > 0").select("node", "text").join(touched, "node", "left_semi").dropDuplicates(["node"]), f"{label}-texts")
+    touched = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = materialize(sets.select("node", "tid").join(touched, "node", "left_semi"), f"{label}-wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT else wanted
+    # rows with one text have one tid: any of them gives the text
+    texts = materialize(docs.select("tid", "text").join(wanted, "tid").dropDuplicates(["node"]).select("node", "text"), f"{label}-texts")
     one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(y)) for x, y in (("a", "s"), ("b", "t")))
-    return materialize(left.join(two, "b").join(one, "a").select("a", "b", "s", "t").mapInArrow(exact, "a long, b long"), f"{label}-links")
+    return materialize(pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "s", "t").mapInArrow(exact, "a long, b long"), f"{label}-links")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(key, component_id): one row per row of docs."""
-    least = Fraction(str(similarity))
-    base = docs.select(quoted(key).alias("id"), quoted(text).cast("binary").alias("text"))
+    """(key, component_id): one row per row of docs; what it writes on the way is removed again."""
+    with scratch(docs.sparkSession):
+        return materialize(_classes(docs, key, text, words, Fraction(str(similarity))), "similar-classes", outlive=True)
+
+
+def _classes(docs: DataFrame, key: str, text: str, words: int, least: Fraction) -> DataFrame:
+    whole = F.coalesce(quoted(text), F.lit(""))
+    base = docs.select(quoted(key).alias("id"), F.xxhash64(whole).alias("tid"), whole.cast("binary").alias("text"))
     made = materialize(_sets(base, words), "similar-sets")
-    sets = made.filter("n >= 0")
+    rows = made.filter("n >= 0")
+    sets = materialize(rows.groupBy("node").agg(F.min("tid").alias("tid"), F.max("n").alias("n"), F.first("s").alias("s"), F.min("fp").alias("fp")), "similar-nodes")
+    rooted = lambda lists, roots: lists.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").drop("_node").withColumn("root", F.coalesce("root", "node"))
+
+    # fingerprints within three bits, and sets that share one
+    ends = sets.groupBy("fp").agg(F.min("node").alias("node"))
+    same = sets.join(ends.withColumnRenamed("node", "a"), "fp").select("a", F.col("node").alias("b"))
+    far = links(ends.select("fp")).join(ends.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(ends.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+    pairs = same.unionByName(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).filter("a <> b").distinct()
+    near = materialize(_near(pairs, sets, least), "similar-near")
+    found = _similar(near, sets, base, words, least, "similar-prints")
+    roots = components(found, "similar")
+
     often = made.filter("n < 0").groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") <= -FREQUENT).orderBy("n", "node").limit(MOST)
     frequent = np.array([r[0] for r in often.select("node").collect()], np.int64).view(np.uint64)
-    lists = materialize(_lists(_index(sets, words, least, frequent)), "similar-lists")
-    sizes = sets.filter("n > 0").groupBy("node").agg(F.max("n").alias("n"))
-    shared = lists.join(sizes, "node")
-
-    stars = lists.filter("node <> center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    links = _similar(stars, sets, words, least, "similar-stars")
-    roots = components(links, "similar").withColumnRenamed("node", "_node")
-    rooted = materialize(shared.join(roots, F.col("node") == F.col("_node"), "left").select("h", "node", "n", F.coalesce("root", "node").alias("root")), "similar-rooted")
-    open_ = rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
-    meet = rooted.join(open_, "h", "left_semi")
+    lists = materialize(_lists(_index(base, words, least, frequent)), "similar-lists")
+    sized = lambda n, m: least.denominator * F.least(n, m) >= least.numerator * F.greatest(n, m)
+
+    # each node with the nearest smallest node of its lists
+    stars = rooted(lists.filter("node <> center").filter(sized("n", "size")).select(F.col("center").alias("a"), "node").distinct(), roots)
+    stars = rooted(stars.select(F.col("node").alias("b"), F.col("root").alias("r"), F.col("a").alias("node")), roots).filter("root <> r").select(F.col("node").alias("a"), "b")
+    best = _near(stars, sets, least).groupBy("b").agg(F.min(F.struct("differ", "a")).alias("x")).select("x.a", "b")
+    found = found.unionByName(_similar(materialize(best, "similar-near"), sets, base, words, least, "similar-stars"))
+    roots = components(found, "similar")
+
+    # what still meets in a list with another component
+    known = materialize(rooted(lists.select("h", "node", "n"), roots), "similar-rooted")
+    open_ = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
+    meet = known.join(open_, "h", "left_semi")
     other = meet.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
-    sized = (least.denominator * F.least("n", "m") >= least.numerator * F.greatest("n", "m"))
-    pairs = meet.join(other, "h").filter((F.col("root") < F.col("r")) & sized).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    links = links.unionByName(_similar(pairs, sets, words, least, "similar-rest"))
-
-    roots = components(links, "similar")
-    named = sets.select("id", "node")
-    rooted = named.groupBy("node").agg(F.min("id").alias("least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("node", "component_id")
-    return named.join(classes, "node").select(F.col("id").alias(key), "component_id")
-
-
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs that hold the smallest key of their component."""
-    kept, component = free_name(docs, "kept_key"), "component_id"
-    classes = near_duplicates(docs, key, text, words, similarity)
-    stay = classes.filter(quoted(key).eqNullSafe(F.col(component))).select(quoted(key).alias(kept)).distinct()
-    return docs.join(stay, quoted(key).eqNullSafe(quoted(kept)), "left_semi")
+    pairs = meet.join(other, "h").filter((F.col("root") < F.col("r")) & sized("n", "m")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    near = materialize(_near(pairs, sets, least), "similar-near")
+    found = found.unionByName(_similar(near, sets, base, words, least, "similar-rest"))
+
+    roots = components(found, "similar")
+    classes = rooted(rows.groupBy("node").agg(F.min("id").alias("least")), roots)
+    smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    return rows.select("id", "node").join(classes.join(smallest, "root").select("node", "component_id"), "node").select(F.col("id").alias(key), "component_id")

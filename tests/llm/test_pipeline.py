@@ -1,15 +1,15 @@
 import random
+from collections import Counter
 
 import corpus_pipeline
 
-from factweave.llm import exact_dedup, quality
-from factweave.llm.simhash import fingerprint
+from factweave.llm import exact_dedup, packing, quality
 
 from .data import DOCS, WORD
 from .test_exact_dedup import expected as exact
 from .test_quality import base
 from .test_quality import scores as quality_scores
-from .test_simhash import roots
+from .test_similar import components
 
 
 def rows():
@@ -28,7 +28,7 @@ def test_the_pipeline_against_plain_python(spark, tmp_path):
     docs = rows()
     spark.createDataFrame(docs, DOCS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(i, 1, 0) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    got = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
 
     kept = []
     for row, s in zip(docs, quality_scores(docs, set(range(30)))):
@@ -43,16 +43,23 @@ def test_the_pipeline_against_plain_python(spark, tmp_path):
         if (row[0], sha) in stays:
             single[row[0], sha] = row
     single = list(single.values())
-    prints = [fingerprint(r[1].encode()) for r in single]
     least = {}
-    for row, root in zip(single, found := roots(prints)):
+    for row, root in zip(single, found := components([r[1] for r in single])):
         if row[0] is not None:
             least[root] = min(row[0], least.get(root, row[0]))
     final = [row for row, root in zip(single, found) if row[0] == least.get(root)]
-    assert set(got["doc_id"].dropna().astype(int)) == {r[0] for r in final if r[0] is not None}
-    assert set(got["doc_id"].value_counts()) <= {1, 2}
-    tokens = {r[0]: len(WORD.findall(r[1])) + 1 for r in final}
-    assert all(tokens[int(i)] == n for i, n in zip(got["doc_id"].dropna(), got[got["doc_id"].notna()]["n_tokens"]))
+    whole = [(id_, piece["n_tokens"], text) for r in got for id_, piece, text in zip(r.doc_ids, r.pieces, r.texts)]
+    assert all(r.bin_length == min(c for c in packing.LENGTHS if c >= r.n_tokens) and r.n_tokens == sum(p.n_tokens for p in r.pieces) for r in got)
+    times = Counter(id_ for id_, _, _ in whole)
+    assert set(times) == {r[0] for r in final} and set(times.values()) <= {1, 2}
+    want = {r[0]: (len(WORD.findall(r[1])) + 1, r[1]) for r in final}
+    assert all(want[id_] == (n, text) for id_, n, text in whole)
+
+
+def test_an_empty_table_gives_no_sequences(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
 def test_stages_keep_the_columns_of_documents(spark, tmp_path):
