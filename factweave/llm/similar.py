@@ -39,7 +39,8 @@ WORDS, SIMILARITY = 5, 0.8
 COUNTED, SEEN, FREQUENT, MOST = 500_000, 3, 32, 100_000
 #: Texts worked on at a time.
 ROWS = 500
-SKETCH = 1024
+#: Cells of a sketch at least.
+CELLS = 128
 #: Names of texts that are sent to the tasks that read them; more of them meet in a shuffle.
 SENT = 2_000_000
 
@@ -65,10 +66,27 @@ def _fingerprint(hashes: np.ndarray) -> int:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) % SKETCH, minlength=SKETCH) & 1
+    """The parities of the counts in as many cells as the set has elements, rounded up to a power of two."""
+    cells = max(CELLS, 1 << max(0, len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes >> np.uint64(32)).astype(np.int64) & (cells - 1), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def differing(one: list[bytes], two: list[bytes]) -> np.ndarray:
+    """In how many cells sketches differ, the longer ones folded to the length of the shorter."""
+    lengths = np.array([list(map(len, one)), list(map(len, two))], np.int64)
+    out = np.zeros(len(one), np.int64)
+    for x, y in np.unique(lengths, axis=1).T:
+        at = np.flatnonzero((lengths[0] == x) & (lengths[1] == y))
+        pair = [np.frombuffer(b"".join(side[i] for i in at), np.uint8).reshape(len(at), -1) for side in (one, two)]
+        while pair[0].shape[1] != pair[1].shape[1]:
+            k = int(pair[1].shape[1] > pair[0].shape[1])
+            half = pair[k].shape[1] // 2
+            pair[k] = pair[k][:, :half] ^ pair[k][:, half:]
+        out[at] = np.bitwise_count(pair[0] ^ pair[1]).sum(axis=1, dtype=np.int64)
+    return out
+
+
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS):
@@ -171,8 +189,7 @@ def _near(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b, n, m = (batch.column(i).to_numpy() for i in range(4))
-            s, t = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(len(a), -1) for i in (4, 5))
-            differ = np.bitwise_count(s ^ t).sum(axis=1, dtype=np.int64)
+            differ = differing(batch.column(4).to_pylist(), batch.column(5).to_pylist())
             stay = ((q + p) * differ <= (q - p) * (n + m)) & (q * np.minimum(n, m) >= p * np.maximum(n, m))
             yield pa.RecordBatch.from_arrays([pa.array(a[stay]), pa.array(b[stay]), pa.array(differ[stay])], names=["a", "b", "differ"])
 

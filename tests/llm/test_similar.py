@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from factweave.llm import similar, simhash
@@ -27,6 +28,18 @@ def components(texts, words=5, least=0.8):
     return [find(i) for i in range(len(texts))]
 
 
+def test_sketches_of_any_length_bound_the_difference():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 2**64, n, dtype=np.uint64)) for n in (0, 1, 100, 130, 4000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(0, 2**64, len(s) // 10, dtype=np.uint64)])) for s in sets]
+    pairs = [(a, b) for a in sets for b in sets]
+    found = similar.differing([similar.sketch(a) for a, _ in pairs], [similar.sketch(b) for _, b in pairs])
+    apart = [len(np.setxor1d(a, b)) for a, b in pairs]
+    assert all(d <= x for d, x in zip(found, apart))
+    other = np.unique(rng.integers(0, 2**64, 4000, dtype=np.uint64))
+    assert similar.differing([similar.sketch(sets[4])], [similar.sketch(other)])[0] > 8000 / 9  # unlike long sets are told apart
+
+
 def edited():
     """Chains of edits, a passage in many texts, and short texts."""
     rng = random.Random(5)
