@@ -5,12 +5,10 @@ Offsets count code points, start at 0 and exclude the end.
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from .arrays import let, running_starts
 
 # Titles of sections that hold no claims, and the least length of one that does.
 SKIP_SECTIONS = r"(?i)^(references|bibliography|acknowledgements?|acknowledgments?|appendix)$"
@@ -24,12 +22,15 @@ STOPWORDS = (
     "used using use set value values has have be been which while"
 ).split()
 
-# White space as Unicode has it, for engines whose \s is ASCII.
-SPACE = r"[\s   -     　﻿]"
+# White space as Unicode has it, for engines whose \\s is ASCII.
+SPACE = r"[\s\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]"
+
+
+SPACES = " \t\n\x0b\x0c\r\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def trim_all(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def one_line(text: Column) -> Column:
@@ -39,10 +40,10 @@ def one_line(text: Column) -> Column:
 
 def collapse_whitespace(text: Column) -> Column:
     """Line ends as \\n, blanks as one, none beside a line end, at most one empty line, trimmed."""
-    out = F.regexp_replace(text, "\r\n?", "\n")
-    out = F.regexp_replace(out, "[ \t]+", " ")
-    out = F.regexp_replace(out, " ?\n ?", "\n")
-    return trim_all(F.regexp_replace(out, "\n{3,}", "\n\n"))
+    end, blanks = r"(?:\r\n?+|\n)", r"(?<![ \t])[ \t]*+"
+    out = F.regexp_replace(text, rf"{blanks}{end}[ \t]*+{end}[ \t\r\n]*+", "\n\n")
+    out = F.regexp_replace(out, rf"{blanks}{end}[ \t]*+", "\n")
+    return trim_all(F.regexp_replace(out, r"[ \t]{2,}+|\t", " "))
 
 
 def strip_comments(tex: Column) -> Column:
@@ -108,25 +109,29 @@ def first_tag(xml: Column, tag: str) -> Column:
 
 
 # A decimal with a fraction that is no part of a longer word or number (ASCII word characters).
-DECIMAL = re.compile(r"(?<![A-Za-z0-9_.])([0-9]{1,4}\.[0-9]{1,3})(?![A-Za-z0-9_.])")
-_AFTER = re.compile(r"[\s%]*([A-Za-z][A-Za-z-]+)")
-_WORDS = re.compile(r"[a-z][a-z-]+")
+DECIMAL = r"(?<![A-Za-z0-9_.])[0-9]{1,4}\.[0-9]{1,3}(?![A-Za-z0-9_.])"
+# How far before and after a figure its word may stand.
+BEFORE_CHARS, AFTER_CHARS = 40, 30
 
 
-def signature_at(text: str, start: int, end: int) -> str | None:
-    """The word a figure is stated with: the next one, else the last telling one before it."""
-    stop = set(STOPWORDS)
-    after = _AFTER.match(text[end : end + 30])
-    if after and after[1].lower() not in stop:
-        return after[1].lower()
-    before = _WORDS.findall(text[max(0, start - 40) : start].lower())
-    return next((w for w in reversed(before) if w not in stop), None)
+def signature(before: Column, after: Column) -> Column:
+    """The word a figure is stated with: the next one, else the last telling one before it; null if there is none."""
+    following = F.lower(F.regexp_extract(after, rf"^(?:{SPACE}|%)*([A-Za-z][A-Za-z-]+)", 1))
+    telling = F.filter(F.regexp_extract_all(F.lower(before), F.lit("[a-z][a-z-]+"), F.lit(0)), lambda w: ~w.isin(*STOPWORDS))
+    return F.when((following != "") & ~following.isin(*STOPWORDS), following).otherwise(F.try_element_at(telling, F.lit(-1)))
 
 
-_SITE = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("literal", T.StringType()), T.StructField("signature", T.StringType())])
+def decimal_sites(text: Column) -> Column:
+    """array of (start, end, literal, signature) of all decimals; the gaps between them give the offsets."""
+    around = lambda t, start, end: (F.substring(t, F.greatest(start - BEFORE_CHARS, F.lit(0)) + 1, F.least(start, F.lit(BEFORE_CHARS))), F.substring(t, end + 1, F.lit(AFTER_CHARS)))
 
+    def sites(t: Column, literals: Column, gaps: Column) -> Column:
+        both = F.zip_with(gaps, literals, lambda g, v: g + F.coalesce(F.length(v), F.lit(0)))
+        at = lambda starts, i: (F.get(starts, i) + F.get(gaps, i)).cast("int")
+        one = lambda start, v: F.struct(start.alias("start"), (start + F.length(v)).alias("end"), v.alias("literal"), signature(*around(t, start, start + F.length(v))).alias("signature"))
+        return let(running_starts(both), lambda starts: F.transform(literals, lambda v, i: one(at(starts, i), v)))
 
-@F.pandas_udf(T.ArrayType(_SITE))
-def decimal_sites(texts: pd.Series) -> pd.Series:
-    """All decimals of each text with offsets and context signatures (null if there is none)."""
-    return texts.map(lambda t: [{"start": m.start(1), "end": m.end(1), "literal": m[1], "signature": signature_at(t, *m.span(1))} for m in DECIMAL.finditer(t or "")])
+    gaps = lambda t: F.transform(F.split(t, DECIMAL, -1), lambda g: F.length(g).cast("long"))
+    found = lambda t: let(F.regexp_extract_all(t, F.lit(DECIMAL), F.lit(0)), lambda v: let(gaps(t), lambda g: sites(t, v, g)))
+    none = F.array().cast("array<struct<start:int,end:int,literal:string,signature:string>>")
+    return F.when(text.rlike(r"[0-9]\.[0-9]"), let(text, found)).otherwise(none)

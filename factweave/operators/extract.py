@@ -1,25 +1,27 @@
 """Claims from sections: batching, cached provider calls, spans, embeddings.
 
-A provider is any object with `extract(texts) -> list[list[dict]]` and `embed(texts) -> array` that can
-be pickled to executors. `RuleProvider` is a deterministic one that needs no network.
+A provider is any object with the four calls of `Provider` that can be pickled to executors. Answers are JSON
+texts or dicts; what doesn't have the asked form counts as not returned. `RuleProvider` is a
+deterministic one that needs no network.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
 import re
-from collections.abc import Iterator
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.measure import QUANTITY
 from ..functions.text import embedding_text, locate, should_extract
 from ..schemas import CONFLICT_TYPES, stable_id
+from ..sources.shared import written
+from . import calls
 
 # Sizes of batches.
 BATCH_CHARS, EMBED_BATCH, INSERT_BATCH = 12_000, 40, 100
@@ -31,9 +33,17 @@ class Provider(Protocol):
     name: str
     dims: int
 
-    def extract(self, sections: list[dict]) -> list[list[dict]]: ...
+    def extract(self, sections: list[dict]) -> list[dict]:
+        """{path, claims} for sections (path, title, text); what names no path that was asked for is dropped."""
 
-    def embed(self, texts: list[str]) -> np.ndarray: ...
+    def embed(self, texts: list[str]) -> np.ndarray:
+        """A vector of `dims` figures per text."""
+
+    def classify(self, pairs: list[dict]) -> list[dict | str | None]:
+        """A refine.CLASSIFICATION for each pair (subject_a, text_a, subject_b, text_b), None for what isn't returned."""
+
+    def verify(self, findings: list[dict]) -> list[dict | str | None]:
+        """A refine.VERIFICATION for each finding (a pair with its rationale)."""
 
 
 class RuleProvider:
@@ -45,14 +55,33 @@ class RuleProvider:
     def __init__(self, dims: int = 64):
         self.dims = dims
 
-    def extract(self, sections: list[dict]) -> list[list[dict]]:
+    def extract(self, sections: list[dict]) -> list[dict]:
         out = []
         for section in sections:
             found = []
             for m in self._claim.finditer(section["text"]):
                 quantity = {"value": float(m["value"]), "unit": m["unit"], "subject": m["metric"], "metric": m["metric"], "dataset": m["dataset"], "system": m["system"]}
                 found.append({"quote": m[0], "claim_type": "NUMERIC", "subject": f"{m['metric']} for {m['system']}", "quantities": [quantity]})
-            out.append(found)
+            out.append({"path": section["path"], "claims": found})
+        return out
+
+    def classify(self, pairs: list[dict]) -> list[dict]:
+        """The same subject if the claims' subjects consist of the same words."""
+        words = lambda text: sorted(set(re.findall(r"\w+", (text or "").lower())))
+        out = []
+        for p in pairs:
+            same = words(p["subject_a"]) == words(p["subject_b"])
+            out.append({"same_subject": same, "verdict": "CONTRADICTS" if same else "NEUTRAL", "conflict_type": "NUMERIC", "confidence": 1.0, "rationale": "equal subjects" if same else "different subjects"})
+        return out
+
+    _bound = re.compile(r"\b(about|almost|approximately|at least|at most|around|nearly|over|roughly|up to)\b", re.I)
+
+    def verify(self, findings: list[dict]) -> list[dict]:
+        """An objection succeeds if one of the claims only gives a bound."""
+        out = []
+        for f in findings:
+            bound = self._bound.search(f["text_a"]) or self._bound.search(f["text_b"])
+            out.append({"strongest_objection": f"only a bound: {bound[0]}" if bound else "none", "objection_succeeds": bool(bound), "span_a": f["text_a"], "span_b": f["text_b"]})
         return out
 
     def embed(self, texts: list[str]) -> np.ndarray:
@@ -71,9 +100,25 @@ def eligible_sections(sections: DataFrame) -> DataFrame:
 
 
 def fixed_batches(df: DataFrame, partition: list[str], order: list[str], size: int, out: str = "batch_no") -> DataFrame:
-    """Rows numbered by batches of `size` within each partition."""
-    over = f"row_number() over (partition by {', '.join(partition)} order by {', '.join(order)})"
-    return df.withColumn(out, F.expr(f"cast(({over} - 1) div {size} as int)"))
+    """Rows numbered by batches of `size` within each partition; a large one is ranked by many tasks."""
+    return ranked_within(df, partition, order, "_rank").withColumn(out, F.expr(f"cast(_rank div {size} as int)")).drop("_rank")
+
+
+def ranked_within(df: DataFrame, partition: list[str], order: list[str], rank: str) -> DataFrame:
+    """df with a gapless 0-based rank within each partition.
+
+    Ranges of rows number their own rows; the starts of a partition's ranges are a table of a row
+    per partition and range, so no task sees a whole partition.
+    """
+    keys = [F.col(c) for c in (*partition, *order)]
+    ranged = written(df.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = ranged.groupBy(*partition, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = f"sum(_n) over (partition by {', '.join(partition)} order by _range) - _n"
+    starts = sizes.select(*(F.col(c).alias(f"_{c}") for c in partition), F.col("_range").alias("_of"), F.expr(before).alias("_start"))
+    same = reduce(lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_{c}")), partition, F.col("_range") == F.col("_of"))
+    local = f"row_number() over (partition by _range, {', '.join(partition)} order by {', '.join(order)}) - 1"
+    joined = ranged.withColumn("_local", F.expr(local)).join(starts, same)
+    return joined.withColumn(rank, F.col("_start") + F.col("_local")).select(*df.columns, rank)
 
 
 def greedy(lengths: list[int], budget: int = BATCH_CHARS) -> list[int]:
@@ -105,18 +150,18 @@ def greedy_batches(df: DataFrame, key: str, order: str, length: str, budget: int
 
 
 def call_extraction(misses: DataFrame, provider: Provider) -> DataFrame:
-    """(content_hash, model, prompt_version, claims JSON) for sections (content_hash, title, body)."""
+    """(content_hash, model, prompt_version, claims JSON, call) for sections (content_hash, title, body); a call takes as many as fit its budget."""
+    kind = T.StructType.fromDDL(f"path string, claims {EXTRACTED}")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            # a call takes as many sections as fit its budget
-            at = np.array(greedy([len(b) for b in batch["body"]]))
-            for b in np.unique(at):
-                part = batch[at == b]
-                found = provider.extract([{"title": t, "text": x} for t, x in zip(part["title"], part["body"])])
-                yield pd.DataFrame({"content_hash": part["content_hash"].to_numpy(), "model": provider.name, "prompt_version": PROMPT_VERSION, "claims": [json.dumps(f) for f in found]})
+    def answers(sections: list[dict]) -> list[list | None]:
+        asked = [{"path": str(i), "title": s["title"], "text": s["body"]} for i, s in enumerate(sections)]
+        found = [calls.structured(a, kind) for a in provider.extract(asked)]
+        by_path = {a["path"]: a["claims"] for a in found if a}
+        return [by_path.get(s["path"]) for s in asked]
 
-    return misses.select("content_hash", "title", "body").dropDuplicates(["content_hash"]).mapInPandas(work, "content_hash string, model string, prompt_version string, claims string")
+    requests = misses.select("content_hash", "title", "body")
+    out = calls.ask(requests, "content_hash", provider, "llm.generate", lambda frame: np.array(greedy([len(b) for b in frame["body"]])), answers)
+    return out.select("content_hash", F.lit(provider.name).alias("model"), F.lit(PROMPT_VERSION).alias("prompt_version"), F.col("result").alias("claims"), "call")
 
 
 def located_claims(sections: DataFrame, extracted: DataFrame) -> DataFrame:
@@ -138,18 +183,15 @@ def embed(claims: DataFrame, cache: DataFrame, provider: Provider) -> tuple[Data
     own = cache.filter((F.col("model") == provider.name) & (F.col("dims") == provider.dims))
     todo = keyed.select("key", embedding_text(F.col("subject"), F.col("text")).alias("t")).dropDuplicates(["key"]).join(own.select(F.col("content_hash").alias("key")), "key", "left_anti")
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), EMBED_BATCH):
-                part = batch.iloc[at : at + EMBED_BATCH]
-                vectors = np.asarray(provider.embed(part["t"].tolist()), float)
-                if vectors.shape != (len(part), provider.dims):
-                    raise ValueError(f"{len(part)} texts gave vectors of shape {vectors.shape}")
-                lengths = np.linalg.norm(vectors, axis=1, keepdims=True)
-                vectors = vectors / np.where(lengths > 0, lengths, 1)
-                yield pd.DataFrame({"content_hash": part["key"].to_numpy(), "model": provider.name, "dims": provider.dims, "embedding": list(vectors.astype(np.float32))})
-
-    fresh = todo.mapInPandas(work, "content_hash string, model string, dims int, embedding array<float>")
+    def vectors(requests: list[dict]) -> list[list[float]]:
+        out = np.asarray(provider.embed([r["t"] for r in requests]), float)
+        if out.shape != (len(requests), provider.dims):
+            raise ValueError(f"{len(requests)} texts gave vectors of shape {out.shape}")
+        lengths = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(lengths > 0, lengths, 1)).astype(np.float32).tolist()
+
+    asked = calls.ask(todo, "key", provider, "llm.embed", calls.fixed(EMBED_BATCH), vectors)
+    fresh = asked.select(F.col("key").alias("content_hash"), F.lit(provider.name).alias("model"), F.lit(provider.dims).alias("dims"), F.from_json("result", "array<float>").alias("embedding"), "call")
     known = own.select("content_hash", "embedding").unionByName(fresh.select("content_hash", "embedding"))
     return keyed.join(known.withColumnRenamed("content_hash", "key"), "key").drop("key"), fresh
 

@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 # Statuses worth a retry, tries, and the waits between them in milliseconds.
 RETRY_STATUSES = (429, 500, 502, 503, 504)
 MAX_TRIES, FIRST_WAIT_MS, LONGEST_WAIT_MS = 6, 1000, 32_000
@@ -34,16 +36,37 @@ def _sums():
 def rolling_items(events: DataFrame, key: str, window_ms: int = WINDOW_MS, at: str = "at", items: str = "items") -> DataFrame:
     """events with the items of the window that ends with them; an event exactly the window old still counts.
 
-    A window function needs a key's events in one task; keys are model and endpoint, not users.
+    Time is cut into buckets as long as the window, and each bucket also gets the events of the one
+    before it, so that a key's events are dealt over as many tasks as it has buckets.
     """
-    over = f"over (partition by {key} order by unix_micros(cast({at} as timestamp)) range between {window_ms * 1000} preceding and current row)"
-    return events.withColumn("items_in_window", F.expr(f"sum({items}) {over}"))
+    own = [F.col(c) for c in events.columns]
+    width = window_ms * 1000
+    timed = events.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
+    each = timed.withColumn("_b", F.explode(F.array((F.floor(F.col("_t") / width)).cast("long"), (F.floor(F.col("_t") / width) + 1).cast("long"))))
+    over = f"over (partition by {key}, _b order by _t range between {width} preceding and current row)"
+    summed = each.withColumn("items_in_window", F.expr(f"sum({items}) {over}"))
+    # an event without a time is in the window of the others without one, as the sort puts them
+    return summed.filter(F.col("_b") == F.floor(F.col("_t") / width)).select(*own, "items_in_window").unionByName(
+        events.filter(F.col(at).isNull()).withColumn("items_in_window", F.expr(f"sum({items}) over (partition by {key})"))
+    )
 
 
 def gaps(events: DataFrame, key: str, min_interval_ms: int, at: str = "at") -> DataFrame:
-    """events with the gap to the one before (null for the first) and whether it is too short."""
-    out = events.withColumn("gap_ms", F.expr(f"(unix_micros(cast({at} as timestamp)) - lag(unix_micros(cast({at} as timestamp))) over (partition by {key} order by {at})) / 1000"))
-    return out.withColumn("too_soon", F.coalesce(F.col("gap_ms") < min_interval_ms, F.lit(False)))
+    """events with the gap to the one before (null for the first) and whether it is too short.
+
+    Ranges of (key, time) find the gaps inside; a range's first event looks up the last one before it in a table of a
+    row per range and key, so no task sees all events of a key.
+    """
+    own = [F.col(c) for c in events.columns]
+    timed = events.withColumn("_t", F.unix_micros(F.col(at).cast("timestamp")))
+    ranged = written(timed.repartitionByRange(F.col(key), F.col("_t")).withColumn("_range", F.spark_partition_id()), "gaps")
+    inside = ranged.withColumn("_last", F.expr(f"lag(_t) over (partition by _range, {key} order by _t)"))
+    ends = ranged.groupBy(key, "_range").agg(F.max("_t").alias("_max"))
+    before = ends.select(F.col(key).alias("_key"), F.col("_range").alias("_of"), F.expr(f"lag(_max) over (partition by {key} order by _range)").alias("_before"))
+    joined = inside.join(before, (F.col("_range") == F.col("_of")) & F.col(key).eqNullSafe(F.col("_key")))
+    first = F.expr(f"row_number() over (partition by _range, {key} order by _t) = 1")
+    out = joined.withColumn("_first", first).withColumn("gap_ms", (F.col("_t") - F.when(F.col("_first"), F.col("_before")).otherwise(F.col("_last"))) / 1000)
+    return out.withColumn("too_soon", F.coalesce(F.col("gap_ms") < min_interval_ms, F.lit(False))).select(*own, "gap_ms", "too_soon")
 
 
 class RateLimiter:

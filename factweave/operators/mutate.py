@@ -22,7 +22,7 @@ def sites(documents: DataFrame, sections: DataFrame, key: str = "doc_id") -> Dat
 
     documents have (key, text), sections (key, path, ordinal, char_start, char_end).
     """
-    found = documents.filter(F.col("text").rlike(r"[0-9]\.[0-9]")).select(key, F.explode(decimal_sites("text")).alias("s")).select(key, "s.*").filter("signature is not null")
+    found = documents.filter(F.col("text").rlike(r"[0-9]\.[0-9]")).select(key, F.explode(decimal_sites(F.col("text"))).alias("s")).select(key, "s.*").filter("signature is not null")
     inside = found.join(sections.withColumnRenamed(key, "_k"), (F.col(key) == F.col("_k")) & (F.col("start") >= F.col("char_start")) & (F.col("start") < F.col("char_end")))
     first = inside.groupBy(key, "start", "end", "literal", "signature").agg(F.min_by("path", "ordinal").alias("path"))
     return first
@@ -88,6 +88,15 @@ def variants(applied: DataFrame, run_id: str, key: str = "doc_id") -> DataFrame:
     )
 
 
+def variant_sections(applied: DataFrame, sections: DataFrame, run_id: str, key: str = "doc_id") -> DataFrame:
+    """Section rows of the variants: the clean document's, hashed again over the mutated text."""
+    version = F.lit(VARIANT_BASE) + F.col("index")
+    rows = applied.select(key, "index", "text").join(sections, key)
+    document = stable_id(F.lit(run_id), F.col(key), version)
+    body = F.substring(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    return rows.select(stable_id(document, F.col("ordinal")).alias("id"), document.alias("document_id"), "path", "title", "level", "ordinal", "char_start", "char_end", F.sha2(body, 256).alias("content_hash"))
+
+
 def overlaps(start, end, low, high):
     """Half-open spans overlap; a null span overlaps nothing."""
     return F.coalesce((start < high) & (end > low), F.lit(False))

@@ -72,15 +72,18 @@ def _block(units: DataFrame, scope: str, k: int, t: float) -> DataFrame:
     else:
         dealt = units.withColumn("parts", F.lit(blocks)).withColumn("space", F.lit(0).cast("bigint"))
     dealt = dealt.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("parts")))
-    every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    left = dealt.withColumn("other", every).select("space", "parts", F.col("mine").cast("int").alias("x"), F.col("other").alias("y"), F.lit(True).alias("is_left"), "id", "doc", "v")
-    right = dealt.withColumn("other", every).select("space", "parts", F.col("other").alias("x"), F.col("mine").cast("int").alias("y"), F.lit(False).alias("is_left"), "id", "doc", "v")
+    # a pair of blocks meets once, as (x, y) with x <= y, and serves both sides
+    mine, last = F.col("mine").cast("int"), (F.col("parts") - 1).cast("int")
+    left = dealt.withColumn("other", F.explode(F.sequence(mine, last))).select("space", "parts", mine.alias("x"), F.col("other").alias("y"), F.lit(True).alias("is_left"), "id", "doc", "v")
+    right = dealt.filter("mine > 0").withColumn("other", F.explode(F.sequence(F.lit(0), mine - 1))).select("space", "parts", F.col("other").alias("x"), mine.alias("y"), F.lit(False).alias("is_left"), "id", "doc", "v")
 
     def product(group: pd.DataFrame) -> pd.DataFrame:
         a, b = group[group["is_left"]], group[~group["is_left"]]
+        if len(a) and group["x"].iloc[0] == group["y"].iloc[0]:
+            return pd.concat(_nearest(a, a, scope, k, t))
         if not len(a) or not len(b):
             return pd.DataFrame({"a_id": [], "b_id": [], "sim": []})
-        return pd.concat(_nearest(a, b, scope, k, t))
+        return pd.concat([*_nearest(a, b, scope, k, t), *_nearest(b, a, scope, k, t)])
 
     return left.unionByName(right).groupBy("space", "parts", "x", "y").applyInPandas(product, schema)
 

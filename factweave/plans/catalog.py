@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import measure, text
 from ..functions.vectors import l2_normalise, norm
-from ..operators import detect, evaluate, extract, meter, mutate, neighbours, refine
+from ..operators import detect, evaluate, extract, meter, mutate, neighbours, passages, refine
 from ..sources import ids, keyed, latex
+from ..sources.shared import written
 from ..streaming import ingest
 from . import tables as t
 
@@ -54,9 +55,11 @@ FROM p WHERE list_max(r) IS NOT NULL
 def numeric_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of one part and supplier whose figures disagree: the largest disagreement of each pair."""
     claims = t.line_claims(spark, sf_dir)
-    side = lambda s: claims.select("l_partkey", "l_suppkey", F.col("line").alias(f"{s}_line"), F.struct("id", "claim_type", "quantities").alias(s))
+    ready = F.struct("claim_type", measure.prepared_list(F.col("quantities")).alias("ready"))
+    claims = written(claims.select("l_partkey", "l_suppkey", "line", ready.alias("claim")), "line-claims")  # prepared once per claim
+    side = lambda s: claims.select("l_partkey", "l_suppkey", F.col("line").alias(f"{s}_line"), F.col("claim").alias(s))
     pairs = side("a").join(side("b"), ["l_partkey", "l_suppkey"]).filter("a_line < b_line")
-    hits = detect.conflicts(pairs).filter("best is not null")
+    hits = detect.conflicts(detect.type_compatible(pairs).filter("survived_type_filter")).filter("best is not null")
     r = F.col("best.r")
     return hits.select("a_line", "b_line", F.col("best.x.metric").alias("metric"), F.round(r, 6).alias("relative_difference"), F.round(measure.confidence(r), 6).alias("confidence"), "compared")
 
@@ -83,7 +86,7 @@ def unit_normalise(spark, sf_dir):
 _LABELS = ["English-to-German WMT 2014 test", "EN-DE newstest 14", "WMT14 En-Fr validation", "Base Model (dev)", "newstest2013, big  model", "en fr WMT 14 TEST", "???", "test WMT14 ende", "Development set of wmt14", ""]
 _CANONICAL = "lower({})"
 for _pattern, _to in measure.LABEL_REWRITES:
-    _CANONICAL = f"regexp_replace({_CANONICAL}, {_quote(_pattern.replace('<b>', chr(92) + 'b').replace(' ?*', chr(92) + 's*'))}, '{_to}', 'g')"
+    _CANONICAL = f"regexp_replace({_CANONICAL}, {_quote(_pattern)}, '{_to}', 'g')"
 _CANONICAL = f"trim(regexp_replace({_CANONICAL}, '[^a-z0-9]+', ' ', 'g'))"
 _LABELLED = f"SELECT *, [{', '.join(map(_quote, _LABELS))}][1 + p_partkey % {len(_LABELS)}] || ' ' || p_type AS label FROM part"
 _SPLIT = r"CASE WHEN regexp_matches({0}, '\bdev\b|newstest2013') THEN 'dev' WHEN regexp_matches({0}, '\btest\b|newstest2014') THEN 'test' END"
@@ -301,16 +304,11 @@ SELECT doc_id, item_id, (strpos(d.text, b.text) - 1)::BIGINT AS char_start, (str
 FROM documents d JOIN benchmark b ON contains(d.text, b.text)"""
 )
 def locate_quotes(spark, sf_dir):
-    """Where benchmark passages stand in documents; candidates share the passage's first five words."""
-    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
-    five = lambda w, i: F.xxhash64(F.slice(w, i, 5))
-    items = t.read(spark, sf_dir, "benchmark").filter("text is not null").withColumn("w", words(F.col("text"))).filter(F.size("w") >= 5)
-    docs = t.read(spark, sf_dir, "documents").filter("text is not null").withColumn("w", words(F.col("text"))).filter(F.size("w") >= 5)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 4), lambda i: five(F.col("w"), i)))
-    hits = docs.select("doc_id", F.explode(grams).alias("g")).join(items.select("item_id", F.col("text").alias("quote"), five(F.col("w"), 1).alias("g")), "g").select("doc_id", "item_id", "quote")
-    # a document's first word may be the tail of a longer one, so the passage itself decides
-    at = hits.join(docs.select("doc_id", "text"), "doc_id").withColumn("at", text.locate(F.col("quote"), F.col("text"))).filter("at is not null")
-    return at.select("doc_id", "item_id", F.col("at.start").cast("long").alias("char_start"), F.col("at.end").cast("long").alias("char_end"), text.contains_span(F.col("text"), F.col("quote")).alias("contained"))
+    """Where benchmark passages stand in documents, whatever their length and wherever they begin."""
+    items = t.read(spark, sf_dir, "benchmark").filter("text is not null").select("item_id", F.col("text").alias("quote"))
+    docs = t.read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", "text")
+    at = passages.locate_all(docs, items, "doc_id", "text", "item_id", "quote")
+    return at.select("doc_id", "item_id", F.col("start").cast("long").alias("char_start"), F.col("end").cast("long").alias("char_end"), F.lit(True).alias("contained"))
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS content_hash, sha256(coalesce(source, '') || chr(10) || coalesce(text, '')) AS embedding_key FROM documents")
@@ -420,7 +418,7 @@ def batch_greedy(spark, sf_dir):
 _VERDICTS = """
   SELECT l.doc_id, l.doc_id % 9 <> 0 AND coalesce(quality = 1, false) AS same, CASE WHEN l.doc_id % 4 = 0 THEN 'TENSION' WHEN l.doc_id % 4 <> 3 THEN 'CONTRADICTS' ELSE 'NEUTRAL' END AS verdict,
     CASE WHEN l.doc_id % 7 = 0 THEN 'not-returned' WHEN l.doc_id % 5 = 0 OR l.doc_id % 5 = 1 THEN 'objection-succeeded'
-         WHEN l.doc_id % 3 = 0 OR trim(regexp_replace(coalesce(text, '')[1:20], '\\s+', ' ', 'g')) = '' THEN 'span-not-quoted'
+         WHEN l.doc_id % 3 = 0 OR trim(regexp_replace(substr(coalesce(text, ''), 1 + length(coalesce(text, '')) // 2, 20), '\\s+', ' ', 'g')) = '' THEN 'span-not-quoted'
          WHEN l.doc_id % 8 = 0 THEN 'span-not-found' END AS reason
   FROM labels l JOIN documents USING (doc_id)"""
 _REFINED = f"""
@@ -473,6 +471,41 @@ def ablation_arms(spark, sf_dir):
     return refine.ablation(t.verdict_findings(spark, sf_dir))
 
 
+_ASKED = """
+  SELECT l.doc_id, sha256('a' || chr(1) || coalesce(text, '') || chr(0) || 'b' || chr(1) || 'other ' || l.doc_id) AS content_hash, l.doc_id % 9 <> 0 AS known,
+    coalesce(quality = 1, false) AS same_subject, CASE WHEN l.doc_id % 4 = 0 THEN 'TENSION' ELSE 'CONTRADICTS' END AS verdict
+  FROM labels l JOIN documents USING (doc_id)"""
+
+
+@query(f"SELECT doc_id, content_hash, known AND same_subject AS same_subject, CASE WHEN known AND same_subject THEN verdict ELSE 'NEUTRAL' END AS verdict, NOT known AS asked FROM ({_ASKED})")
+def cached_verdicts(spark, sf_dir):
+    """Pairs and their cached classifications, by a key that doesn't depend on the pair's order; what the cache lacks would be asked."""
+    rows = t.read(spark, sf_dir, "labels").join(t.read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id")
+    n, other = F.col("doc_id"), F.concat(F.lit("other "), F.col("doc_id").cast("string"))
+    key = lambda swap: text.pair_hash(F.lit("b"), other, F.lit("a"), F.col("text")) if swap else text.pair_hash(F.lit("a"), F.col("text"), F.lit("b"), other)
+    answer = F.to_json(F.struct(F.coalesce(F.col("quality") == 1, F.lit(False)).alias("same_subject"), F.when(n % 4 == 0, "TENSION").otherwise("CONTRADICTS").alias("verdict")))
+    cache = rows.filter(n % 9 != 0).select(key(True).alias("content_hash"), answer.alias("result")).dropDuplicates(["content_hash"])
+    found = rows.select("doc_id", key(False).alias("content_hash")).join(cache, "content_hash", "left")
+    c = refine.normalise_classification(F.from_json("result", refine.CLASSIFICATION))
+    return found.select("doc_id", "content_hash", c.alias("c"), F.col("result").isNull().alias("asked")).select("doc_id", "content_hash", "c.same_subject", "c.verdict", "asked")
+
+
+_FEED = "'<feed><entry><id>http://arxiv.org/abs/2301.' || lpad(p_partkey::VARCHAR, 5, '0') || 'v' || p_size || '</id><title>' || p_name || '\n &amp; ' || p_brand || '</title><published> 2024 </published></entry></feed>'"
+
+
+@query(f"SELECT p_partkey, p_size::INT AS version, p_name || ' & ' || p_brand AS title, '2024' AS published, CAST(NULL AS VARCHAR) AS error FROM part WHERE length({_FEED}) > 0")
+def paper_metadata(spark, sf_dir):
+    """The first entry of a metadata feed per part."""
+    feed = F.concat(F.lit("<feed><entry><id>http://arxiv.org/abs/2301."), F.lpad(F.col("p_partkey").cast("string"), 5, "0"), F.lit("v"), F.col("p_size").cast("string"), F.lit("</id><title>"), F.col("p_name"), F.lit("\n &amp; "), F.col("p_brand"), F.lit("</title><published> 2024 </published></entry></feed>"))
+    meta = ids.metadata(feed, F.lit("x"), F.lit(None).cast("int"))
+    return t.read(spark, sf_dir, "part").select("p_partkey", meta.alias("m")).select("p_partkey", "m.version", "m.title", "m.published", "m.error")
+
+
+@query("SELECT count(DISTINCT label) AS documents, count(vec_id) AS claims FROM embeddings")
+def corpus_size(spark, sf_dir):
+    return detect.corpus_size(t.vector_claims(spark, sf_dir))
+
+
 # --- mutations and evaluation ------------------------------------------------------------------
 
 _SCORE, _SHARE = "(doc_id % 90 + 1) || '.' || (doc_id % 9 + 1)", "'0.' || (doc_id % 7 + 1) || (doc_id % 9 + 1)"

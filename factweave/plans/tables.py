@@ -45,8 +45,8 @@ def vector_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verdict_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings per labelled document with raw answers of both models, some missing, some wrong."""
-    rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("t")), "doc_id")
+    """Findings per labelled document with raw answers of both models, some missing, some wrong; quotes come from the middle of the text."""
+    rows = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t")), "doc_id")
     n = F.col("doc_id")
     a, b = F.coalesce("t", F.lit("")), F.concat(F.lit("other "), n.cast("string"))
     classification = F.when(
@@ -60,7 +60,7 @@ def verdict_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
         n % 7 != 0,
         F.struct(
             F.lit("none").alias("strongest_objection"), F.when(n % 5 != 0, n % 5 == 1).alias("objection_succeeds"),
-            F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("  "), F.substring(a, 1, 20), F.lit(" "))).alias("span_a"), F.when(n % 8 == 0, "made up").otherwise(b).alias("span_b"),
+            F.when(n % 3 == 0, "").otherwise(F.concat(F.lit("  "), F.substring(a, F.expr("cast(1 + length(coalesce(t, '')) div 2 as int)"), F.lit(20)), F.lit(" "))).alias("span_a"), F.when(n % 8 == 0, "made up").otherwise(b).alias("span_b"),
         ),
     )
     return rows.select("doc_id", a.alias("text_a"), b.alias("text_b"), classification.alias("classification"), verification.alias("verification"))

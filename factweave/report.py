@@ -13,19 +13,20 @@ def as_json(df: DataFrame) -> str:
     return json.dumps([r.asDict(recursive=True) for r in df.collect()], indent=2, default=str, ensure_ascii=False)
 
 
-def section_tree(sections: list[dict], text: str = "", preview: int = 0) -> str:
+def section_tree(sections: list[dict], previews: list[str] | None = None) -> str:
     lines = []
-    for s in sections:
+    for i, s in enumerate(sections):
         lines.append(f"{'  ' * (s['level'] - 1)}{s['path']}  [{s['char_start']}, {s['char_end']})")
-        if preview:
-            lines.append(f"{'  ' * s['level']}{' '.join(text[s['char_start'] : s['char_end']][:preview].split())}")
+        if previews:
+            lines.append(f"{'  ' * s['level']}{' '.join(previews[i].split())}")
     return "\n".join(lines)
 
 
 def findings_text(findings: list[dict]) -> str:
     if not findings:
         return "No contradictions found."
-    return "\n\n".join(f"{i}. {f['conflict_type']} (confidence {f['confidence']:.2f})\n   {f['rationale']}\n   A: {f['a']['text']}\n   B: {f['b']['text']}" for i, f in enumerate(findings, 1))
+    where = lambda c: f" ({c['path']})" if c.get("path") else ""
+    return "\n\n".join(f"{i}. {f['conflict_type']} (confidence {f['confidence']:.2f})\n   {f['rationale']}\n   A{where(f['a'])}: {f['a']['text']}\n   B{where(f['b'])}: {f['b']['text']}" for i, f in enumerate(findings, 1))
 
 
 def stats_text(stats: dict) -> str:

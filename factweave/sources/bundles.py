@@ -6,6 +6,7 @@ import gzip
 import io
 import re
 import tarfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,12 +17,22 @@ from pyspark.sql import functions as F
 GZIP, PDF, TAR_AT_257 = b"\x1f\x8b", b"%PDF", b"ustar"
 TEXTUAL = re.compile(r"\.(tex|bbl|cls|sty|txt)$", re.I)
 CACHE_DAYS = 7
+#: Bytes that a bundle may hold unpacked; a larger one is a row with an error.
+MAX_BYTES = 1 << 30
+
+
+def _inflated(data: bytes) -> bytes:
+    with gzip.GzipFile(fileobj=io.BytesIO(data)) as stream:
+        body = stream.read(MAX_BYTES + 1)
+    if len(body) > MAX_BYTES:
+        raise OSError(f"more than {MAX_BYTES} bytes unpacked")
+    return body
 
 
 def unpack(data: bytes) -> tuple[dict[str, str], bool, str | None]:
     """(files by path, whether there is only a PDF, error)."""
     try:
-        body = gzip.decompress(data) if data.startswith(GZIP) else data
+        body = _inflated(data) if data.startswith(GZIP) else data
         if data.startswith(PDF) or body.startswith(PDF):
             return {}, True, None
         if body[257:262] != TAR_AT_257:
@@ -29,7 +40,7 @@ def unpack(data: bytes) -> tuple[dict[str, str], bool, str | None]:
         with tarfile.open(fileobj=io.BytesIO(body)) as tar:
             members = [m for m in tar if m.isreg() and TEXTUAL.search(m.name)]
             return {m.name: tar.extractfile(m).read().decode("utf-8", "replace") for m in members}, False, None
-    except (OSError, EOFError, tarfile.TarError) as e:
+    except (OSError, EOFError, tarfile.TarError, zlib.error) as e:
         return {}, False, f"{type(e).__name__}: {e}"
 
 

@@ -66,6 +66,14 @@ def lookup_document(documents: DataFrame, arxiv_id: str) -> DataFrame:
     return documents.filter((F.col("arxiv_id") == arxiv_id) & F.col("eval_run_id").isNull()).orderBy(F.col("version").desc()).limit(1)
 
 
+def backfill(claims: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+    """The rows that an embedding cache lacks, one per key, filled from claims that have a vector."""
+    keyed_ = claims.filter("embedding is not null").withColumn("content_hash", F.sha2(F.concat_ws("\n", "subject", "text"), 256))
+    rows = keyed_.select("content_hash", F.lit(model).alias("model"), F.size("embedding").alias("dims"), "embedding")
+    own = cache.filter(F.col("model") == model) if "model" in cache.columns else cache
+    return insert_ignore(own, rows, ["content_hash"])
+
+
 def backfill_stats(claims: DataFrame, cache: DataFrame) -> DataFrame:
     """(rows, distinct, inserted) of filling an embedding cache from claims."""
     key = F.sha2(F.concat_ws("\n", "subject", "text"), 256).alias("content_hash")
@@ -74,39 +82,77 @@ def backfill_stats(claims: DataFrame, cache: DataFrame) -> DataFrame:
     return keyed.join(known, "content_hash", "left").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("distinct"), F.count_if(F.col("known").isNull()).alias("inserted"))
 
 
+#: The layout of a store's tables; a store of a later one isn't touched.
+STORE_VERSION = 1
+
+
 class Store:
-    """A folder of Parquet tables."""
+    """A folder of Parquet tables.
+
+    A table is a folder of versions and the file `current`, which names the one that counts. A swap writes a new
+    version first and then replaces that small file, so there is a whole table at every moment, on
+    object stores too (nothing is renamed); the version before stays for readers that have begun.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        found = self._text(f"{self.root}/version")
+        if found is not None and int(found) > STORE_VERSION:
+            raise ValueError(f"the store at {root} has version {found}, this is {STORE_VERSION}")
+
+    def migrate(self) -> None:
+        """Bring the store to this version; there has been one so far."""
+        self._put(f"{self.root}/version", str(STORE_VERSION))
 
     def _files(self, path: str):
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()), where
 
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+    def _text(self, path: str) -> str | None:
+        fs, where = self._files(path)
+        if not fs.exists(where):
+            return None
+        stream = fs.open(where)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def _put(self, path: str, text: str) -> None:
+        fs, where = self._files(path)
+        stream = fs.create(where, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+
+    def path(self, name: str) -> str | None:
+        """The folder of the table's current version."""
+        version = self._text(f"{self.root}/{name}/current")
+        return version and f"{self.root}/{name}/{version}"
 
     def exists(self, name: str) -> bool:
-        fs, path = self._files(self.path(name))
-        return fs.exists(path)
+        return self.path(name) is not None
 
     def read(self, name: str, schema) -> DataFrame:
         """The table, or an empty one of that schema."""
-        return self.spark.read.schema(schema).parquet(self.path(name)) if self.exists(name) else self.spark.createDataFrame([], schema)
+        path = self.path(name)
+        return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
 
     def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self.path(name))
+        path = self.path(name)
+        if path:
+            rows.write.mode("append").parquet(path)
+        else:
+            self.swap(name, rows)
 
     def swap(self, name: str, rows: DataFrame) -> None:
-        """Write first, then swap in; rows may read the table itself."""
-        staged = f"{self.path(name)}.{uuid.uuid4().hex}"
-        rows.write.parquet(staged)
-        fs, path = self._files(self.path(name))
-        jvm_path = self.spark._jvm.org.apache.hadoop.fs.Path
-        old = jvm_path(f"{staged}.old")
-        if fs.exists(path):
-            fs.rename(path, old)
-        fs.rename(jvm_path(staged), path)
-        fs.delete(old, True)
+        """Write first, then point to it; rows may read the table itself. Versions before the last two are removed."""
+        old, version = self._text(f"{self.root}/{name}/current"), uuid.uuid4().hex
+        rows.write.parquet(f"{self.root}/{name}/{version}")
+        self._put(f"{self.root}/{name}/current", version)
+        fs, where = self._files(f"{self.root}/{name}")
+        for status in fs.listStatus(where):
+            if status.isDirectory() and status.getPath().getName() not in (version, old):
+                fs.delete(status.getPath(), True)

@@ -9,11 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A folder of the application's own in spark.checkpoint.dir, or in one of ours where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/checkpoints/factweave"
+    """A folder of the application's own in spark.checkpoint.dir, or (on one machine, as in tests) in one of ours where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"{tempfile.gettempdir()}/checkpoints/factweave"
     return f"{root.rstrip('/')}/factweave-{spark.sparkContext.applicationId}"
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that the application has written so; for its end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table: what is expensive (provider calls, pairs) runs once, and a lost executor costs a re-read."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

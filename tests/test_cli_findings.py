@@ -19,9 +19,10 @@ def test_corpus_prints_and_saves_all_findings(spark, monkeypatch):
     store = Store()
     monkeypatch.setattr(cli, "written", lambda df, label: df)
     monkeypatch.setattr(cli.detect, "corpus", lambda *a: None)
-    monkeypatch.setattr(cli.detect, "detect", lambda *a: (spark.range(3), found, spark.range(1)))
+    monkeypatch.setattr(cli, "with_paths", lambda claims, store: claims)
+    monkeypatch.setattr(cli.detect, "detect", lambda *a, **k: (spark.range(3), found, spark.range(1)))
     monkeypatch.setattr(cli.keyed, "Store", lambda *a: store)
     config = SimpleNamespace(store="", embedding_dims=8, top_k=1, min_similarity=0.5)
-    out = cli.execute(spark, SimpleNamespace(command="corpus", targets=["2301.00001", "2301.00002"], json=True), config)
+    out = cli.execute(spark, SimpleNamespace(command="corpus", targets=["2301.00001", "2301.00002"], json=True, no_classifier=False, no_verifier=False), config)
     assert out.count('"conflict_type"') == 250
     assert store.rows == {"candidate_pairs_cross": 3, "findings_cross": 250}

@@ -116,7 +116,7 @@ def test_locate(spark):
 
 def test_decimal_sites(spark):
     source = "We get 3.5 days of 0.9, x1.25 and 1.2.3; then 41.80% BLEU. The rate 0.123"
-    rows = spark.createDataFrame([(source,), (None,)], "t string").select(text.decimal_sites("t").alias("s")).collect()
+    rows = spark.createDataFrame([(source,), (None,)], "t string").select(text.decimal_sites(F.col("t")).alias("s")).collect()
     assert [(s.literal, s.signature) for s in rows[0].s] == [("3.5", "days"), ("0.9", "days"), ("41.80", "bleu"), ("0.123", "rate")]
     assert all(source[s.start : s.end] == s.literal for s in rows[0].s) and rows[1].s == []
 

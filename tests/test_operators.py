@@ -1,15 +1,18 @@
 import datetime as dt
 import gzip
+import hashlib
 import io
+import json
 import random
 import tarfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from factweave import cli, config, report, schemas
-from factweave.operators import detect, evaluate, extract, meter, mutate, neighbours, refine
+from factweave.operators import calls, detect, evaluate, extract, meter, mutate, neighbours, passages, refine
 from factweave.sources import bundles, ids, keyed, latex
 from factweave.streaming import ingest
 
@@ -183,7 +186,129 @@ def test_command_line_end_to_end(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["corpus", "2301.00001", "arXiv:2301.00002"]) == 0 and capsys.readouterr().out.count("NUMERIC") == 2
     assert cli.main(["corpus", "2301.00001"]) == 1 and cli.main(["corpus", "nonsense", "2301.00002"]) == 1
     capsys.readouterr()
-    assert cli.main(["eval", papers, "--control-only", "--json"]) == 0 and '"papers": 2' in capsys.readouterr().out
+    assert cli.main(["report"]) == 1 and "no evaluation run" in capsys.readouterr().err
+    assert cli.main(["eval", papers, "--control-only", "--json", "--no-verifier"]) == 0 and '"papers": 2' in capsys.readouterr().out
+    page = tmp_path / "page.md"
+    page.write_text(f"head {report.START} {report.END}")
+    assert cli.main(["report", "--splice", str(page)]) == 0 and "| Clean control papers | 2 |" in page.read_text() and "Verification | disabled" in page.read_text()
+    assert cli.main(["backfill"]) == 0 and capsys.readouterr().out.endswith("0 vectors added\n")
+    store = keyed.Store(spark, str(tmp_path / "store"))
+    events = store.read("meter_events", schemas.schema("meter_events"))
+    assert {r.kind for r in events.select("kind").distinct().collect()} == {"llm.generate", "llm.embed"} and events.filter("not ok").isEmpty()
+    run = evaluate.latest_run(store.read("eval_runs", schemas.schema("eval_runs"))).first()
+    assert run.finished_at and run.classifier_enabled and not run.verifier_enabled
+
+
+class Judge(extract.RuleProvider):
+    """Answers by the figures in the texts: 1 another subject, 2 an objection, 3 no verification, 4 a made-up quote, 5 nonsense."""
+
+    def __init__(self, log):
+        super().__init__(16)
+        self.log = log
+
+    def note(self, kind, n):
+        with open(self.log, "a") as f:
+            f.write(f"{kind} {n}\n")
+
+    def classify(self, pairs):
+        self.note("classify", len(pairs))
+        return ["{broken" if "case 5" in p["text_a"] else {"same_subject": "case 1" not in p["text_a"], "verdict": "CONTRADICTS", "confidence": "0.9", "more": 1} for p in pairs]
+
+    def verify(self, findings):
+        self.note("verify", len(findings))
+        out = []
+        for f in findings:
+            case = f["text_a"][5]
+            out.append(None if case == "3" else {"strongest_objection": "o", "objection_succeeds": case == "2", "span_a": "made up" if case == "4" else f["text_a"], "span_b": f["text_b"]})
+        return out
+
+
+def cases(spark):
+    q = lambda v, i: [{"value": v, "unit": None, "subject": "BLEU", "metric": "BLEU", "dataset": None, "system": f"s{i}"}]
+    rows = [(10 * i + s, f"D{i}", "s", f"case {i} {s}", 0, 5, "NUMERIC", f"subject {i}", q(v, i), [float(i == k) for k in range(7)]) for i in range(6) for s, v in ((0, 10.0), (1, 20.0))]
+    return spark.createDataFrame(rows, claims(spark).schema)
+
+
+def test_each_switch_changes_the_findings_and_a_second_run_asks_nothing(spark, tmp_path):
+    log = str(tmp_path / "log")
+    reported = {}
+    for classify in (True, False):
+        for verify in (True, False):
+            store = keyed.Store(spark, str(tmp_path / f"{classify}{verify}"))
+            for again in (False, True):
+                open(log, "w").close()
+                _, found, stats = detect.detect(cases(spark), "intra", 12, 0.5, provider=Judge(log), store=store, classify=classify, verify=verify)
+                rows = found.collect()
+                reported[classify, verify, again] = {r.a_id // 10 for r in rows}
+                asked = {}
+                for line in open(log):
+                    kind, n = line.split()
+                    asked[kind] = asked.get(kind, 0) + int(n)
+                # answers that aren't returned, or are no answers, aren't cached
+                want = {"classify": 1 if again else 6} if classify else {}
+                want |= {"verify": 1 if again else 4 if classify else 6} if verify else {}
+                assert asked == want
+                assert all(r.verifier_passed is (True if verify else None) and r.detector == ("arithmetic+llm" if verify else "arithmetic") for r in rows)
+                s = stats.first()
+                if classify or verify:
+                    assert s.reported == len(rows) and s.rejected_different_subject == (2 if classify else 0)
+    assert reported[True, True, False] == reported[True, True, True] == {0}
+    assert reported[True, False, False] == {0, 2, 3, 4} and reported[False, True, False] == {0, 1, 5} and reported[False, False, False] == set(range(6))
+    events = keyed.Store(spark, str(tmp_path / "TrueTrue")).read("meter_events", schemas.schema("meter_events"))
+    assert events.filter("kind = 'llm.generate'").agg(F.sum("items")).first()[0] == 6 + 4 + 1 + 1
+
+
+def test_calls_are_retried_paced_and_metered(spark, tmp_path):
+    class Flaky(extract.RuleProvider):
+        status_of = staticmethod(lambda e: 503)
+        wait_ms = staticmethod(lambda e: 1)
+        min_interval_ms = 5
+
+        def __init__(self, path):
+            super().__init__()
+            self.path = path
+
+        def extract(self, sections):
+            import os
+
+            if not os.path.exists(self.path):
+                open(self.path, "w").close()
+                raise RuntimeError("busy")
+            return ['{"path": "no such path", "claims": []}', *super().extract(sections)]
+
+    rows = spark.createDataFrame([("h1", "T", "BLEU of 3.5 for Model 1."), ("h2", "U", "nothing")], "content_hash string, title string, body string").coalesce(1)
+    out = extract.call_extraction(rows, Flaky(str(tmp_path / "once")))
+    out.write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert {r.content_hash: r.claims.count("quote") for r in out.collect()} == {"h1": 1, "h2": 0}
+    events = calls.events(out).orderBy("ok").collect()
+    assert [(e.ok, e["items"], e.kind, e.label) for e in events] == [(False, 2, "llm.generate", "rules"), (True, 2, "llm.generate", "rules")]
+
+
+def test_answers_are_checked():
+    kind = T.StructType.fromDDL("a string, b boolean, c array<struct<d:double>>")
+    assert calls.structured('{"a": "x", "b": true, "c": [{"d": 1}], "e": 2}', kind) == {"a": "x", "b": True, "c": [{"d": 1}]}
+    assert calls.structured({"a": 1}, kind) == {"a": 1, "b": None, "c": None}
+    for wrong in ("{", "[]", None, {"b": "true"}, {"c": [{"d": "1"}]}, {"c": {}}):
+        assert calls.structured(wrong, kind) is None
+
+
+def test_an_evaluation_is_saved(spark, tmp_path):
+    texts = [(i, f"Start. BLEU of {30 + i}.5 for Model {i} on test. ", f"Results: BLEU of {30 + i}.5 for Model {i} on test.") for i in range(3)]
+    docs = spark.createDataFrame([(i, a + b) for i, a, b in texts], "doc_id long, text string")
+    sections = spark.createDataFrame([x for i, a, b in texts for x in ((i, "A", "A", 1, 0, 0, len(a)), (i, "B", "B", 1, 1, len(a), len(a + b)))], "doc_id long, path string, title string, level int, ordinal int, char_start int, char_end int")
+    store = keyed.Store(spark, str(tmp_path / "store"))
+    out = evaluate.evaluate(docs, sections, extract.RuleProvider(), per_paper=1, t=0.3, classify=True, verify=True, store=store)
+    rows = {name: store.read(name, schemas.schema(name)).collect() for name in ("eval_runs", "injections", "documents", "sections")}
+    assert [(r.id, r.classifier_enabled, r.verifier_enabled) for r in rows["eval_runs"]] == [(out["run_id"], True, True)] and rows["eval_runs"][0].finished_at
+    assert json.loads(rows["eval_runs"][0].metrics)["injected"] == {"total": 3, "detected": 3, "recall": 1.0}
+    assert {r.run_id for r in rows["injections"]} == {out["run_id"]} and all(r.detected for r in rows["injections"])
+    assert {r.document_id for r in rows["injections"]} == {r.id for r in rows["documents"]} == {r.document_id for r in rows["sections"]}
+    mutated = {r.source_arxiv_id: r for r in rows["injections"]}
+    a, b = texts[1][1:]
+    changed = (a + b)[: mutated["1"].char_start] + mutated["1"].mutated_text + (a + b)[mutated["1"].char_end :]
+    hashes = {r.content_hash for r in rows["sections"] if r.document_id == mutated["1"].document_id}
+    assert hashes == {hashlib.sha256(x.encode()).hexdigest() for x in (changed[: len(a)], changed[len(a) :])}
 
 
 def test_embeddings_are_cached_by_content(spark):
@@ -196,6 +321,42 @@ def test_embeddings_are_cached_by_content(spark):
     assert tuple(keyed.backfill_stats(embedded, fresh.limit(1)).first()) == (3, 2, 1)
 
 
+def test_a_cache_is_filled_from_claims(spark):
+    rows = spark.createDataFrame([("s", "a", [1.0]), ("s", "a", [1.0]), ("s", "b", [2.0]), ("s", "c", None)], "subject string, text string, embedding array<float>")
+    first = keyed.backfill(rows, spark.createDataFrame([], schemas.schema("embedding_cache")), "m")
+    assert first.count() == 2 and keyed.backfill(rows, first, "m").count() == 0 and keyed.backfill(rows, first, "n").count() == 2
+
+
+def test_a_store_has_a_whole_table_at_every_moment(spark, tmp_path):
+    store = keyed.Store(spark, str(tmp_path / "s"))
+    store.swap("t", spark.range(3))
+    reading = store.read("t", "id long")
+    store.swap("t", store.read("t", "id long").union(spark.range(3, 5)))
+    assert reading.count() == 3 and store.read("t", "id long").count() == 5
+    store.append("t", spark.range(2))
+    store.append("new", spark.range(2))
+    assert store.read("t", "id long").count() == 7 and store.read("new", "id long").count() == 2 and not store.exists("none")
+    store.swap("t", spark.range(1))
+    assert len([p for p in (tmp_path / "s" / "t").iterdir() if p.is_dir()]) == 2
+    store.migrate()
+    store._put(f"{store.root}/version", "99")
+    with pytest.raises(ValueError, match="version 99"):
+        keyed.Store(spark, str(tmp_path / "s"))
+
+
+def test_passages_of_any_length_and_place(spark):
+    docs = [(1, "we saw the red cat today and left again"), (2, "bathe red cat sat on a mat"), (3, "no"), (4, None), (5, "x the red cat sat on a mat."), (6, "“the  red cat”")]
+    items = [(1, "the red cat"), (2, "the red cat sat on a mat"), (3, "e red cat sat on a ma"), (4, "no"), (5, None), (6, "cat sat on  a mat"), (7, "o"), (8, "saw the red cat today and")]
+    at = lambda: sorted((r.d, r.i, r.start, r.end) for r in passages.locate_all(spark.createDataFrame(docs, "d int, t string"), spark.createDataFrame(items, "i int, q string"), "d", "t", "i", "q").collect())
+    want = sorted((d, i, t.index(q), t.index(q) + len(q)) for d, t in docs if t for i, q in items if q and q in t)
+    assert at() == want
+    passages.SENT, kept = 1, passages.SENT
+    try:
+        assert at() == want
+    finally:
+        passages.SENT = kept
+
+
 def test_keyed_tables(spark, tmp_path):
     make = lambda rows: spark.createDataFrame(rows, "k int, v string")
     rows = lambda df: sorted(map(tuple, df.collect()))
@@ -262,7 +423,7 @@ def test_injected_contradictions_are_found_and_clean_ones_are_not(spark):
     docs = spark.createDataFrame([(i, a + b) for i, a, b in texts], "doc_id long, text string")
     sections = spark.createDataFrame([x for i, a, b in texts for x in ((i, "A", "A", 1, 0, 0, len(a)), (i, "B", "B", 1, 1, len(a), len(a + b)))], "doc_id long, path string, title string, level int, ordinal int, char_start int, char_end int")
     out = evaluate.evaluate(docs, sections, extract.RuleProvider(), per_paper=1, t=0.3)
-    assert out["metrics"] == {"control": {"papers": 5, "findings": 0, "false_positives_per_paper": 0.0}, "injected": {"total": 5, "detected": 5, "recall": 1.0}}
+    assert out["metrics"] == {"control": {"papers": 5, "findings": 0, "false_positives_per_paper": 0.0}, "injected": {"total": 5, "detected": 5, "recall": 1.0}, "by_type": [{"mutation_type": "NUMERIC", "total": 5, "detected": 5, "recall": 1.0}]}
     empty = evaluate.recall(out["injections"].limit(0)).first()
     assert (empty.total, empty.recall) == (0, None)
 
@@ -358,12 +519,40 @@ New par. % comment \section{no}
 
 
 def test_includes_and_macros():
-    files = {"d/main.tex": r"\documentclass{a}\begin{document}\input{one} \include{./two}\input{gone}%\input{one}" + "\n" + r"\end{document}", "d/one.tex": r"ONE \input{d/three}", "two.TEX": "TWO", "d/three.tex": "THREE", "loop.tex": r"\input{loop}"}
-    assert latex.main_file(files) == "d/main.tex" and latex.main_file({"a.tex": "x"}) is None
-    assert " ".join(latex.expand_includes(files["d/main.tex"], files).split()) == r"\documentclass{a}\begin{document} ONE THREE TWO \end{document}"
-    assert r"\input{loop}" in latex.expand_includes(files["loop.tex"], files)
-    tex = r"\newcommand{\gpt}{GPT}\newcommand*{\big}{\gpt-4 {x}}\def\n{$$}\newcommand{\arg}[1]{#1}\gpt{} \gptx \big, \n \arg{y}"
-    assert latex.expand_macros(tex).endswith(r"GPT \gptx GPT-4 {x}, $$ \arg{y}")
+    files = {"d/main.tex": r"\documentclass{a}\begin{document}\input{one} \include{./two}\input{gone}%\input{one}" + "\n" + r"\end{document}", "d/one.tex": r"ONE \input{d/three}", "two.TEX": "TWO", "d/three.tex": "THREE", "loop.tex": r"L\input{loop}"}
+    assert latex.Files(files).main() == "d/main.tex" and latex.Files({"a.tex": "x"}).main() is None
+    assert latex.parse(files["d/main.tex"], files)[0].split() == ["ONE", "THREE", "TWO"]
+    assert latex.parse(files["loop.tex"], files)[0].split() == ["L"] * (latex.MAX_INCLUDES + 1)
+    tex = r"\newcommand{\gpt}{GPT}\newcommand*{\huge}{\gpt-4 {x}}\def\n{``}\newcommand{\arg}[1]{#1}\def\two#1{#1}\gpt{} \gptx \huge, \n \arg{y}"
+    assert latex.parse(tex)[0] == "GPT GPT-4 x, `` y"
+    preamble = {"main.tex": r"\documentclass{a}\input{defs}\begin{document}\section{\model{} results}\textbf{\appendix}\section{B}x\end{document}", "defs.tex": r"\newcommand{\model}{Net-\size}\newcommand{\size}{7B}\renewcommand{\loop}{\loop\loop}"}
+    assert [s["path"] for s in latex.parse(preamble["main.tex"], preamble)[1]] == ["1 Net-7B results", "A B"]
+    two = {"a.tex": r"\begin{document}\input{part}\end{document}", "old/a.tex": r"\documentclass{x}\begin{document}old\end{document}", "top.tex": r"\documentclass{x}\begin{document}\input{a}\end{document}", "part.tex": "P"}
+    assert latex.Files(two).main() == "top.tex"
+
+
+def test_a_paper_that_cannot_be_read_is_a_row_with_an_error(spark):
+    deep = r"\begin{document}" + r"\begin{center}" * 20_000 + "x" + r"\end{document}"
+    rows = [(1, {"main.tex": deep}), (2, {"main.tex": r"\begin{document}\section{S}fine\end{document}"}), (3, {}), (4, None)]
+    out = {r.i: r for r in latex.parse_bundles(spark.createDataFrame(rows, "i int, files map<string,string>")).collect()}
+    assert "Recursion" in out[1].error and out[2].error is None and out[2].sections[0].path == "1 S"
+    assert out[3].error == out[4].error == "no file with a document body"
+
+
+def test_section_offsets_against_collapsed_prefixes():
+    """By the definition: a section begins where the collapsed text before it ends."""
+    rng = random.Random(1)
+    for _ in range(60):
+        parts = [" ".join(rng.choice(["w", "\n", "  ", "\t", r"\%", "é", "%c\n", r"\alpha"]) for _ in range(rng.randint(0, 12))) for _ in range(5)]
+        tex = parts[0] + "".join(f"\\section{{T{i}}}{p}" for i, p in enumerate(parts[1:]))
+        text, sections = latex.parse(tex)
+        for i, s in enumerate(sections):
+            assert s["char_start"] == len(latex.parse(parts[0] + "".join(f"\\section{{T{k}}}{p}" for k, p in enumerate(parts[1 : i + 1])))[0])
+
+
+def test_a_bundle_that_grows_without_end_is_an_error(monkeypatch):
+    monkeypatch.setattr(bundles, "MAX_BYTES", 1000)
+    assert "1000 bytes" in bundles.unpack(gzip.compress(b"x" * 1001))[2] and bundles.unpack(gzip.compress(b"x" * 999))[2] is None
 
 
 # --- reports, settings, streams ----------------------------------------------------------------
