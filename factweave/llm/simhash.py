@@ -135,27 +135,58 @@ def _away(fps: np.ndarray, half, points: np.ndarray, reach) -> np.ndarray:
     return np.bitwise_count(np.where(np.asarray(reach) == 1, _part(differ, half), differ)).astype(np.int64)
 
 
-def _placed(prints: DataFrame, tree: Tree, points: dict[int, int] | None = None, reach: int = 1) -> DataFrame:
-    """(leaf, fp); or (leaf, d), the distances to the vantage points of some leaves."""
-    known = prints.sparkSession.sparkContext.broadcast((tree, points))
+def _placed(prints: DataFrame, tree: Tree) -> DataFrame:
+    """(leaf, fp): each fingerprint in its leaves."""
+    known = prints.sparkSession.sparkContext.broadcast(tree)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, points = known.value
-        wanted = np.array(sorted(points or ()), np.int64)
+        for batch in batches:
+            fps = batch.column(0).to_numpy().view(np.uint64)
+            row, leaf = known.value.leaves(fps)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(fps[row].view(np.int64))], names=["leaf", "fp"])
+
+    return prints.select("fp").mapInArrow(work, "leaf long, fp long")
+
+
+def _sizes(prints: DataFrame, tree: Tree) -> DataFrame:
+    """(leaf, n, fp): the fingerprints of each leaf and one of them, added up per task first."""
+    known = prints.sparkSession.sparkContext.broadcast(tree)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[int, int]] = {}
+        for batch in batches:
+            fps = batch.column(0).to_numpy().view(np.uint64)
+            row, leaf = known.value.leaves(fps)
+            order = np.lexsort((fps[row] * np.uint64(0x9E3779B97F4A7C15), leaf))
+            names, first, counts = np.unique(leaf[order], return_index=True, return_counts=True)
+            for name, fp, n in zip(names.tolist(), fps[row[order[first]]].tolist(), counts.tolist()):
+                m, other = held.get(name, (0, fp))
+                held[name] = (m + n, min(fp, other, key=lambda x: x * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        fps = np.array([fp for _, fp in held.values()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([n for n, _ in held.values()], pa.int64()), pa.array(fps)], names=["leaf", "n", "fp"])
+
+    each = prints.select("fp").mapInArrow(work, "leaf long, n long, fp long")
+    return each.groupBy("leaf").agg(F.sum("n").alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("fp"))
+
+
+def _histograms(prints: DataFrame, tree: Tree, points: dict[int, int], reach: int) -> DataFrame:
+    """(leaf, d, n): how many fingerprints of some leaves are at each distance to its vantage point, added up per task first."""
+    known = prints.sparkSession.sparkContext.broadcast((tree, np.array(sorted(points), np.int64), np.array([points[n] for n in sorted(points)], np.uint64)))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tree, wanted, points = known.value
+        half = np.array([_half_of(n) for n in wanted.tolist()])
+        counts = np.zeros(65 * len(wanted), np.int64)
         for batch in batches:
             fps = batch.column(0).to_numpy().view(np.uint64)
             row, leaf = tree.leaves(fps)
-            if points is None:
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(fps[row].view(np.int64))], names=["leaf", "fp"])
-                continue
-            inside = wanted[np.minimum(np.searchsorted(wanted, leaf), len(wanted) - 1)] == leaf
-            row, leaf = row[inside], leaf[inside]
-            at = np.searchsorted(wanted, leaf)
-            half = np.array([_half_of(n) for n in wanted.tolist()])[at]
-            away = _away(fps[row], half, np.array([points[n] for n in wanted.tolist()], np.uint64)[at], reach)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(away)], names=["leaf", "d"])
+            at = np.minimum(np.searchsorted(wanted, leaf), len(wanted) - 1)
+            row, at = row[wanted[at] == leaf], at[wanted[at] == leaf]
+            counts += np.bincount(65 * at + _away(fps[row], half[at], points[at], reach), minlength=len(counts))
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(wanted[seen // 65]), pa.array(seen % 65), pa.array(counts[seen])], names=["leaf", "d", "n"])
 
-    return prints.select("fp").mapInArrow(work, "leaf long, fp long" if points is None else "leaf long, d long")
+    return prints.select("fp").mapInArrow(work, "leaf long, d long, n long").groupBy("leaf", "d").agg(F.sum("n").alias("n"))
 
 
 def grow(prints: DataFrame, n: int) -> Tree:
@@ -165,15 +196,14 @@ def grow(prints: DataFrame, n: int) -> Tree:
     whole: set[int] = set()  # nodes that no radius parts
     while n > most:
         tree = Tree(nodes)
-        sizes = _placed(prints, tree).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp")).alias("fp"))
-        points = {r["leaf"]: r["fp"] & (1 << 64) - 1 for r in sizes.filter(F.col("n") > most).collect() if r["leaf"] not in whole}
+        points = {r["leaf"]: r["fp"] & (1 << 64) - 1 for r in _sizes(prints, tree).filter(F.col("n") > most).collect() if r["leaf"] not in whole}
         if not points:
             break
         for reach in (1, RADIUS):  # by the half, and by all bits what agrees in the half
             left = {leaf: point for leaf, point in points.items() if leaf not in nodes}
             histograms = {leaf: np.zeros(65, np.int64) for leaf in left}
-            for r in _placed(prints, tree, left, reach).groupBy("leaf", "d").count().collect() if left else ():
-                histograms[r["leaf"]][r["d"]] = r["count"]
+            for r in _histograms(prints, tree, left, reach).collect() if left else ():
+                histograms[r["leaf"]][r["d"]] = r["n"]
             for leaf, counts in histograms.items():
                 radius = split_radius(counts, reach)
                 if radius is not None:

@@ -10,9 +10,11 @@ a passage that many texts share then stands in no prefix, unless it makes up mos
 
 Large groups don't become all their pairs: first every node is compared with its nearest smallest
 node of a list; what is in one component by then needs no further comparison, and only nodes of different
-components that meet in a list are compared. A pair first passes two bounds that no similar pair fails (the
-sizes' ratio; parity sketches differ in at most as many bits as the sets do in elements), then the
-exact count on the texts. Texts are read again where they are needed and never copied for all documents.
+components that meet in a list are compared. A pair first passes bounds that no similar pair fails: what stands before
+the shared hash in either set can't be shared if it is the first shared one, so it tells how much can be (a
+large group whose texts each have too much of their own drops out of its lists so, before any pair is
+made); parity sketches differ in at most as many cells as the sets do in elements. Then the exact count on
+the texts decides. Texts are read again where they are needed and never copied for all documents.
 
 Defined cases: texts of fewer words have one shingle; texts without words are alike; null counts as
 empty; a null key takes part but is never the smallest unless the whole component has none; an empty
@@ -132,7 +134,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _index(docs: DataFrame, words: int, least: Fraction, frequent: np.ndarray) -> DataFrame:
-    """(h, node, n): every set, with its size, under the hashes of its prefix."""
+    """(h, node, n, p): every set, with its size, under the hashes of its prefix, each with its place in the order."""
     known = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,36 +150,38 @@ def _index(docs: DataFrame, words: int, least: Fraction, frequent: np.ndarray) -
             each = np.fromiter(map(len, rows), np.int64, len(rows))
             hashes = np.concatenate([*rows, np.zeros(0, np.uint64)]).view(np.int64)
             own = np.array(nodes, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.repeat(own, each)), pa.array(np.repeat(np.array(sizes, np.int32), each))], names=["h", "node", "n"])
+            place = np.arange(len(hashes)) - np.repeat(np.cumsum(each) - each, each)
+            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.repeat(own, each)), pa.array(np.repeat(np.array(sizes, np.int32), each)), pa.array(place.astype(np.int32))], names=["h", "node", "n", "p"])
 
-    return docs.select("text").mapInArrow(work, "h long, node long, n int")
+    return docs.select("text").mapInArrow(work, "h long, node long, n int, p int")
 
 
 def _lists(index: DataFrame) -> DataFrame:
-    """(h, node, n, center, size): the lists of at least two nodes, with their smallest and its size; one shuffle, and no list is held."""
+    """(h, node, n, p, center, size, place): the lists of at least two nodes, with their smallest, its size and place; one shuffle, and no list is held."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h0 = center = size = last = None
+        h0 = center = last = None
         alone = False
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
         for batch in batches:
-            hs, nodes, sizes = (batch.column(i).to_numpy() for i in range(3))
+            columns = [batch.column(i).to_numpy() for i in range(4)]
+            hs = columns[0]
             if not len(hs):
                 continue
             # most hashes stand once: only rows next to one of the same hash are looked at, and those at the ends
             same = np.concatenate([[False], hs[1:] == hs[:-1], [False]])
             look = np.flatnonzero(same[1:] | same[:-1] | (np.arange(len(hs)) % max(1, len(hs) - 1) == 0))
             out = []
-            for h, node, n in zip(hs[look].tolist(), nodes[look].tolist(), sizes[look].tolist()):
+            for h, node, n, p in zip(*(c[look].tolist() for c in columns)):
                 if h != h0:
-                    h0, center, size, last, alone = h, node, n, node, True
+                    h0, center, last, alone = h, (node, n, p), node, True
                 elif node != last:
-                    out += [(h, center, size, center, size)] if alone else []
-                    out.append((h, node, n, center, size))
+                    out += [(h, *center, *center)] if alone else []
+                    out.append((h, node, n, p, *center))
                     last, alone = node, False
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["h", "node", "n", "center", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate(kinds)], names=["h", "node", "n", "p", "center", "size", "place"])
 
-    return index.repartition("h").sortWithinPartitions("h", "node").mapInArrow(work, "h long, node long, n int, center long, size int")
+    return index.repartition("h").sortWithinPartitions("h", "node").mapInArrow(work, "h long, node long, n int, p int, center long, size int, place int")
 
 
 def _near(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
@@ -249,21 +253,26 @@ def _classes(docs: DataFrame, key: str, text: str, words: int, least: Fraction)
     often = made.filter("n < 0").groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") <= -FREQUENT).orderBy("n", "node").limit(MOST)
     frequent = np.array([r[0] for r in often.select("node").collect()], np.int64).view(np.uint64)
     lists = materialize(_lists(_index(base, words, least, frequent)), "similar-lists")
-    sized = lambda n, m: least.denominator * F.least(n, m) >= least.numerator * F.greatest(n, m)
+    t, over = least.numerator, least.numerator + least.denominator
+    # similar sets of n and m elements share t / (1 + t) of n + m; from the places p and q on they share n - p or m - q at most
+    shared = lambda left, sizes: over * left.cast("long") >= t * sizes.cast("long")
+    can = lambda n, p, m, q: shared(F.least(F.col(n) - F.col(p), F.col(m) - F.col(q)), F.col(n) + F.col(m)) & (least.denominator * F.least(n, m) >= t * F.greatest(n, m))
 
     # each node with the nearest smallest node of its lists
-    stars = rooted(lists.filter("node <> center").filter(sized("n", "size")).select(F.col("center").alias("a"), "node").distinct(), roots)
+    stars = rooted(lists.filter("node <> center").filter(can("n", "p", "size", "place")).select(F.col("center").alias("a"), "node").distinct(), roots)
     stars = rooted(stars.select(F.col("node").alias("b"), F.col("root").alias("r"), F.col("a").alias("node")), roots).filter("root <> r").select(F.col("node").alias("a"), "b")
     best = _near(stars, sets, least).groupBy("b").agg(F.min(F.struct("differ", "a")).alias("x")).select("x.a", "b")
     found = found.unionByName(_similar(materialize(best, "similar-near"), sets, base, words, least, "similar-stars"))
     roots = components(found, "similar")
 
     # what still meets in a list with another component
-    known = materialize(rooted(lists.select("h", "node", "n"), roots), "similar-rooted")
-    open_ = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("h")
-    meet = known.join(open_, "h", "left_semi")
-    other = meet.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("r"))
-    pairs = meet.join(other, "h").filter((F.col("root") < F.col("r")) & sized("n", "m")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+    known = materialize(rooted(lists.select("h", "node", "n", "p"), roots), "similar-rooted")
+    open_ = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least")).filter("low < high").select("h", "least")
+    # of a list those stay that could share enough with its smallest set, or with the smallest that could be similar
+    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * t / least.denominator))
+    meet = materialize(known.join(open_, "h").filter(shared(F.col("n") - F.col("p"), F.col("n") + smallest)).drop("least"), "similar-meet")
+    other = meet.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("r"))
+    pairs = meet.join(other, "h").filter((F.col("root") < F.col("r")) & can("n", "p", "m", "q")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
     near = materialize(_near(pairs, sets, least), "similar-near")
     found = found.unionByName(_similar(near, sets, base, words, least, "similar-rest"))
 
