@@ -12,7 +12,8 @@ learned_<kind>; the seeds' spans stay as they are.
 
 The seeds' edges come from their spans, so no table of seeds is sent around. Patterns and accepted values
 are sent to the tasks that scan the texts, at most SENT at a time; more of them take more scans. A round
-scans the texts once for the units in new patterns, and once for accepted values if there are any.
+scans the texts to estimate how many units stand in new patterns, to count those in patterns that may be
+precise enough, and for accepted values if there are any.
 Edges are distinct (pattern, instance) pairs, pre-aggregated before the shuffle, so copies of a
 document weigh once and a frequent word is no hot task. Patterns and values go by 64-bit hashes.
 
@@ -67,6 +68,8 @@ MIN_SUPPORT, MIN_PRECISION, MIN_CONFIDENCE = 5, 0.6, 0.75
 #: Patterns or values that are sent to the tasks at a time (16 bytes each).
 SENT = 2_000_000
 CONTEXT = 96
+#: An estimate of a pattern's units has a standard error of 5 %; it must exceed its bound by so much to drop the pattern.
+MARGIN = 1.5
 
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
@@ -187,17 +190,23 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 
 def bootstrap(docs: DataFrame, edges: DataFrame, text: str = "text", support: int = MIN_SUPPORT, precision: float = MIN_PRECISION, confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame] | None:
     """((v, kind) of accepted values, (pattern, kind, l1, precision) of trusted patterns), from the seeds' edges; None if nothing was accepted."""
-    known, counted, seen, learned = [edges], [], [], []
+    known, estimated, exact, seen, learned = [edges], [], [], [], []
     while True:
         facts = _union(known)
         supported = facts.groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("known"), F.first("l1").alias("l1")).filter(F.col("known") >= support)
-        fresh = supported.groupBy("pattern").agg(F.first("l1").alias("l1"))
-        if counted:
-            fresh = fresh.join(_union(counted).select("pattern"), "pattern", "left_anti")
-        fresh = materialize(fresh, "pii-candidates")
-        counted.append(fresh)
+        best = materialize(supported.groupBy("pattern").agg(F.max("known").alias("most"), F.first("l1").alias("l1")), "pii-candidates")
+        # most candidates are frequent words with far too many units: an estimate, added up per task, drops them
+        fresh = best.join(_union(estimated), "pattern", "left_anti") if estimated else best
         for part in _sent(fresh, "pattern"):
-            stands = _standing(docs, text, part)
+            about = _standing(docs, text, part.select("pattern", "l1")).groupBy("pattern").agg(F.approx_count_distinct("v", 0.05).alias("about"))
+            estimated.append(materialize(about, "pii-estimates"))
+        if not estimated:
+            return None
+        hopeful = best.join(_union(estimated), "pattern").filter(F.col("most") * MARGIN >= precision * F.col("about"))
+        hopeful = materialize(hopeful.join(_union(exact), "pattern", "left_anti") if exact else hopeful, "pii-hopeful")
+        exact.append(hopeful.select("pattern"))
+        for part in _sent(hopeful, "pattern"):
+            stands = _standing(docs, text, part.select("pattern", "l1"))
             seen.append(materialize(stands.groupBy("pattern", "v").agg(F.count(F.lit(1)).alias("n")), "pii-edges"))
         if not seen:
             return None
