@@ -37,6 +37,8 @@ from .common import free_name, materialize, quoted, table
 #: Fingerprints of a part, and of a shard at least; shards are at most some MAX_SHARDS.
 LEAF, SHARD = 2048, 16_384
 MAX_SHARDS = 1 << 13
+#: Keys that are sent to all tasks at most.
+SENT = 2_000_000
 RADIUS = 3
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -336,9 +338,11 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
         from . import similar
 
         classes = similar.near_duplicates(docs, key, text, words, similarity)
-    kept = free_name(docs, "kept_key")
-    stay = classes.filter(quoted(key).eqNullSafe(F.col("component_id"))).select(quoted(key).alias(kept)).distinct()
-    return docs.join(stay, quoted(key).eqNullSafe(quoted(kept)), "left_semi")
+    # what goes is less than what stays: its keys are sent to the rows, so that no text is moved, unless there are too many
+    gone = free_name(docs, "gone_key")
+    drop = classes.filter(~quoted(key).eqNullSafe(F.col("component_id"))).select(quoted(key).alias(gone)).distinct()
+    drop = materialize(drop, "simhash-gone")
+    return docs.join(F.broadcast(drop) if drop.count() <= SENT else drop, quoted(key).eqNullSafe(quoted(gone)), "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
