@@ -9,10 +9,11 @@ kinds it is THRESHOLD. Trigrams of bytes rather than words: their counts are den
 even over a few hundred trusted documents, while rare words of good documents that nobody labelled
 would look untrusted.
 
-Corpus counts cover all rows. Each task adds up its own counters before the shuffle, and BUCKETS
-sums, a fixed number, reach the driver and are broadcast. Trusted documents are those labelled 1; at
-most MAX_TRUSTED labels (the first by a hash of the id) are used, which bounds that broadcast too; the
-threshold is fitted on as many labels of either kind.
+Corpus counts cover all rows, trusted counts all documents labelled 1, and the threshold is fitted on all
+labels. Each task adds up its own counters before the shuffle, and BUCKETS sums, a fixed number, reach the
+driver and are broadcast. Up to SENT labels are sent to the rows; more of them meet the texts in a shuffle for the
+counts, and for the threshold their scores, without the texts. Up to HELD scores reach the driver; the cut of
+more is found by running sums over ranges of scores.
 
 Defined cases: a null text has no words, fails the length rule and goes; a document with
 contradictory labels isn't trusted; with no trusted documents every score is 0 and only the base
@@ -30,14 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, quoted, table
+from .common import free_name, materialize, quoted, scratch, table
 
 BUCKETS = 1 << 16
 SMOOTHING = 1.0
 #: Nats per n-gram, where the labels can't tell.
 THRESHOLD = -0.7
 STRETCH = 1 << 20
-MAX_TRUSTED = 20_000
+#: Labels that are sent to all tasks, and scores that the driver holds; they decide the way only, never the result.
+SENT, HELD = 2_000_000, 1_000_000
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -74,16 +76,23 @@ def base_figures(text: bytes) -> tuple[int, int, int, int, int]:
     )
 
 
-def labelled_ids(labels: DataFrame, quality_: int, key: str = "doc_id", quality: str = "quality", most: int = MAX_TRUSTED) -> DataFrame:
-    """At most `most` ids of documents that all their labels give that quality."""
+def labelled_ids(labels: DataFrame, quality_: int, key: str = "doc_id", quality: str = "quality", most: int | None = None) -> DataFrame:
+    """Ids of the documents that all their labels give that quality: all of them, or for a look at some the first `most` by a hash."""
     same = labels.filter(quoted(key).isNotNull()).groupBy(quoted(key)).agg(F.min(quoted(quality)).alias("least"), F.max(quoted(quality)).alias("most"))
-    return same.filter(f"least = {quality_} and most = {quality_}").select(key).orderBy(F.xxhash64(quoted(key)), quoted(key)).limit(most)
+    found = same.filter(f"least = {quality_} and most = {quality_}").select(key)
+    return found if most is None else found.orderBy(F.xxhash64(quoted(key)), quoted(key)).limit(most)
 
 
-def log_ratio(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray:
+def known_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(_id, _good): the documents whose labels agree on 1 or on 0, written."""
+    good, bad = (labelled_ids(labels, quality_, key).select(quoted(key).alias("_id"), F.lit(quality_ == 1).alias("_good")) for quality_ in (1, 0))
+    return materialize(good.unionByName(bad), "quality-labels")
+
+
+def log_ratio(docs: DataFrame, known: DataFrame, sent: bool, key: str = "doc_id", text: str = "text") -> np.ndarray:
     """log p_trusted - log p_corpus by bucket."""
-    trust = labelled_ids(labels, 1, key).select(quoted(key).alias("_trusted"))
-    marked = docs.select(quoted(key).alias("k"), quoted(text).cast("binary").alias("t")).join(F.broadcast(trust), F.col("k") == F.col("_trusted"), "left")
+    trust = known.filter("_good").select(F.col("_id").alias("_trusted"))
+    marked = docs.select(quoted(key).alias("k"), quoted(text).cast("binary").alias("t")).join(F.broadcast(trust) if sent else trust, F.col("k") == F.col("_trusted"), "left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, BUCKETS), np.int64)
@@ -127,18 +136,49 @@ def best_cut(good: np.ndarray, bad: np.ndarray) -> float:
     return float(cuts[np.lexsort((cuts, -gaps, errors))[0]])
 
 
-def threshold(docs: DataFrame, labels: DataFrame, ratio, key: str = "doc_id", text: str = "text") -> float:
-    """The cut for these labels; at most 2 * MAX_TRUSTED scores reach the driver."""
-    known = labelled_ids(labels, 1, key).select(quoted(key).alias("_id"), F.lit(True).alias("_good")).unionByName(labelled_ids(labels, 0, key).select(quoted(key).alias("_id"), F.lit(False).alias("_good")))
-    rows = docs.select(quoted(key).alias("k"), quoted(text).cast("binary").alias("t")).join(F.broadcast(known), F.col("k") == F.col("_id")).select("t", "_good")
+def ranged_cut(scores: DataFrame) -> float:
+    """best_cut of (score, good) for any number of them: running sums over ranges of distinct scores; one row per range meets in one task."""
+    each = scores.groupBy("score").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
+    fixed = materialize(each.repartitionByRange("score").withColumn("part", F.spark_partition_id()), "quality-ranges")
+    before = "rows between unbounded preceding and 1 preceding"
+    sums = fixed.groupBy("part").agg(F.sum("g").alias("gs"), F.sum("b").alias("bs"), F.max("score").alias("last"))
+    starts = sums.selectExpr(
+        "part",
+        *(f"coalesce(sum({c}) over (order by part {before}), 0) as {c}0" for c in ("gs", "bs")),
+        f"max(last) over (order by part {before}) as last",
+        *(f"sum({c}) over () as all_{c}" for c in ("gs", "bs")),
+    )
+    cuts = fixed.join(F.broadcast(starts), "part").selectExpr(
+        "score as high",
+        "coalesce(lag(score) over (partition by part order by score), last) as low",
+        *(f"{c}s0 + coalesce(sum({c}) over (partition by part order by score {before}), 0) as {c}_below" for c in ("g", "b")),
+        "all_gs",
+        "all_bs",
+    )
+    tried = cuts.filter("low is not null and all_gs > 0 and all_bs > 0")
+    best = tried.selectExpr("struct(g_below + all_bs - b_below as errors, low - high as gap, (low + high) / 2 as cut) as x").agg(F.min("x").alias("x")).first()
+    return THRESHOLD if best["x"] is None else best["x"]["cut"]
+
+
+def threshold(docs: DataFrame, known: DataFrame, sent: bool, ratio, key: str = "doc_id", text: str = "text") -> float:
+    """The cut for all labels."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            judged = [_judged(x.as_py() or b"", ratio.value) for x in batch.column(0)]
+            judged = [_judged(x.as_py() or b"", ratio.value) for x in batch.column(1)]
             passed = pa.array([not failed for _, failed, _ in judged], pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array([score for _, _, score in judged], pa.float64()), batch.column(1)], names=["score", "good"]).filter(passed)
-
-    seen = rows.mapInArrow(work, "score double, good boolean").toPandas()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([score for _, _, score in judged], pa.float64())], names=[batch.schema.names[0], "score"]).filter(passed)
+
+    scored = lambda rows: rows.mapInArrow(work, rows.select(rows.columns[0], F.lit(0.0).alias("score")).schema)
+    rows = docs.select(quoted(key).alias("k"), quoted(text).cast("binary").alias("t"))
+    if sent:
+        found = scored(rows.join(F.broadcast(known), F.col("k") == F.col("_id")).select("_good", "t"))
+    else:
+        found = scored(rows.filter("k is not null")).join(known, F.col("k") == F.col("_id"))
+    found = materialize(found.select("score", F.col("_good").alias("good")), "quality-scores")
+    if found.count() > HELD:
+        return ranged_cut(found)
+    seen = found.toPandas()
     good = seen["good"].to_numpy(bool)
     return best_cut(seen["score"].to_numpy()[good], seen["score"].to_numpy()[~good])
 
@@ -148,8 +188,11 @@ FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", keep_text: bool = False) -> tuple[DataFrame, dict[str, str]]:
     """docs with the figures, base_failed, kept and score; and the names these columns got."""
-    ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(docs, labels, key, text))
-    least = threshold(docs, labels, ratio, key, text)
+    with scratch(docs.sparkSession):
+        known = known_labels(labels, key)
+        sent = known.count() <= SENT
+        ratio = docs.sparkSession.sparkContext.broadcast(log_ratio(docs, known, sent, key, text))
+        least = threshold(docs, known, sent, ratio, key, text)
     names = {c: free_name(docs, c) for c in (*FIGURES, "base_failed", "kept", "score")}
     rows = docs.withColumn(text, quoted(text).cast("binary"))
     rest = rows if keep_text else rows.drop(text)

@@ -84,6 +84,36 @@ def test_scores_and_verdicts_against_brute_force(spark):
     assert any(w[7] for w in want) and all(not w[7] for w in want if w[0] and w[0] >= 500)
 
 
+def verdicts(out):
+    return sorted(((r.doc_id, r.kept, round(r.score, 6)) for r in out[0].collect()), key=repr)
+
+
+def test_all_labels_count_however_many(spark):
+    rows = [r for r in documents(60) if len(r[1] or "") < 50_000]
+    rows += [(500 + i, " ".join(f"W{j}***" for j in range(60)), None, None, None) for i in range(5)]
+    labels = spark.range(40_000).selectExpr("id as doc_id", "int(id < 500 or id > 20000) as quality", "0 as toxic")  # most of other documents
+    found = scores(rows, set(range(500)))
+    passed = [base(t)[0] >= 50 and 100 * base(t)[4] <= 50 * base(t)[0] for _, t, *_ in rows]
+    good, bad = ([s for (i, *_), s, ok in zip(rows, found, passed) if ok and i in ids] for ids in (range(500), range(500, 600)))
+    least = cut(good, bad)
+    want = sorted(((i, ok and s >= least, round(s, 6)) for (i, *_), s, ok in zip(rows, found, passed)), key=repr)
+    assert verdicts(quality.score(spark.createDataFrame(rows, DOCS), labels)) == want
+
+
+def test_the_way_for_many_labels_gives_the_same(spark, monkeypatch):
+    rows = [r for r in documents(60) if len(r[1] or "") < 50_000]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(70)] + [(7, 0, 0), (None, 1, 0)], LABELS)
+    few = verdicts(quality.score(docs, labels))
+    monkeypatch.setattr(quality, "SENT", 0)
+    monkeypatch.setattr(quality, "HELD", 0)
+    assert verdicts(quality.score(docs, labels)) == few and len({kept for _, kept, _ in few}) == 2
+    rng = np.random.default_rng(3)
+    for n, kinds in ((400, 2), (400, 2), (9, 2), (5, 1), (1, 2)):
+        pairs = [(float(x), bool(good)) for x, good in zip(rng.integers(-40, 40, n) / 7, rng.integers(0, kinds, n))]
+        got = quality.ranged_cut(spark.createDataFrame(pairs, "score double, good boolean"))
+        assert got == cut([x for x, good in pairs if good], [x for x, good in pairs if not good])
+
+
 def test_keep_good_keeps_columns_types_and_text(spark):
     good = " ".join(f"word{i}" for i in range(80))
     df = spark.createDataFrame([(1, good, 5, 0.5), (2, "short", 6, 0.5), (None, None, None, None)], "doc_id long, text string, n_words int, score double")
