@@ -288,13 +288,13 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(within, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, label: str = "simhash") -> DataFrame:
+def components(edges: DataFrame, label: str = "simhash", parts: int | None = None) -> DataFrame:
     """(node, root): the smallest node of the component of every node that edges (a, b) touch.
 
     Alternates large-star and small-star steps; stops when a round of both changes no edge.
     """
     high, low = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
-    now = materialize(edges.filter("a <> b").select(high, low).distinct(), f"{label}-edges")
+    now = materialize(edges.filter("a <> b").select(high, low).distinct(), f"{label}-edges", parts=parts)
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -303,7 +303,7 @@ def components(edges: DataFrame, label: str = "simhash") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         stars = F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v"))))
         small = large.join(least, "u").select(stars.alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
-        now = materialize(small, f"{label}-edges")
+        now = materialize(small, f"{label}-edges", parts=parts)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == before:
             break

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ WORDS, SIMILARITY = 5, 0.8
 COUNTED, SEEN, FREQUENT, MOST = 500_000, 3, 32, 100_000
 #: Texts worked on at a time.
 ROWS = 500
+#: Documents for each file of a table that is written on the way, at least.
+PER_FILE = 5_000
 #: Cells of a sketch at least.
 CELLS = 128
 #: Names of texts that are sent to the tasks that read them; more of them meet in a shuffle.
@@ -202,7 +205,7 @@ def _near(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "s", "t").mapInArrow(near, "a long, b long, differ long")
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, least: Fraction, label: str) -> DataFrame:
+def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, least: Fraction, label: str, parts: int) -> DataFrame:
     """Those of the written pairs (a, b) that are similar, by their texts."""
     p, q = least.numerator, least.denominator
 
@@ -219,12 +222,12 @@ def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, lea
             yield batch.select([0, 1]).filter(pa.array(stay, pa.bool_()))
 
     touched = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialize(sets.select("node", "tid").join(touched, "node", "left_semi"), f"{label}-wanted")
+    wanted = materialize(sets.select("node", "tid").join(touched, "node", "left_semi"), f"{label}-wanted", parts=parts)
     wanted = F.broadcast(wanted) if wanted.count() <= SENT else wanted
     # rows with one text have one tid: any of them gives the text
-    texts = materialize(docs.select("tid", "text").join(wanted, "tid").dropDuplicates(["node"]).select("node", "text"), f"{label}-texts")
+    texts = materialize(docs.select("tid", "text").join(wanted, "tid").dropDuplicates(["node"]).select("node", "text"), f"{label}-texts", parts=parts)
     one, two = (texts.select(F.col("node").alias(x), F.col("text").alias(y)) for x, y in (("a", "s"), ("b", "t")))
-    return materialize(pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "s", "t").mapInArrow(exact, "a long, b long"), f"{label}-links")
+    return materialize(pairs.select("a", "b").join(two, "b").join(one, "a").select("a", "b", "s", "t").mapInArrow(exact, "a long, b long"), f"{label}-links", parts=parts)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -238,7 +241,9 @@ def _classes(docs: DataFrame, key: str, text: str, words: int, least: Fraction)
     base = docs.select(quoted(key).alias("id"), F.xxhash64(whole).alias("tid"), whole.cast("binary").alias("text"))
     made = materialize(_sets(base, words), "similar-sets")
     rows = made.filter("n >= 0")
-    sets = materialize(rows.groupBy("node").agg(F.min("tid").alias("tid"), F.max("n").alias("n"), F.first("s").alias("s"), F.min("fp").alias("fp")), "similar-nodes")
+    parts = -(-max(1, rows.count()) // PER_FILE)
+    written = partial(materialize, parts=parts)
+    sets = written(rows.groupBy("node").agg(F.min("tid").alias("tid"), F.max("n").alias("n"), F.first("s").alias("s"), F.min("fp").alias("fp")), "similar-nodes")
     rooted = lambda lists, roots: lists.join(roots.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").drop("_node").withColumn("root", F.coalesce("root", "node"))
 
     # fingerprints within three bits, and sets that share one
@@ -246,13 +251,13 @@ def _classes(docs: DataFrame, key: str, text: str, words: int, least: Fraction)
     same = sets.join(ends.withColumnRenamed("node", "a"), "fp").select("a", F.col("node").alias("b"))
     far = links(ends.select("fp")).join(ends.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(ends.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
     pairs = same.unionByName(far.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))).filter("a <> b").distinct()
-    near = materialize(_near(pairs, sets, least), "similar-near")
-    found = _similar(near, sets, base, words, least, "similar-prints")
-    roots = components(found, "similar")
+    near = written(_near(pairs, sets, least), "similar-near")
+    found = _similar(near, sets, base, words, least, "similar-prints", parts)
+    roots = components(found, "similar", parts)
 
     often = made.filter("n < 0").groupBy("node").agg(F.sum("n").alias("n")).filter(F.col("n") <= -FREQUENT).orderBy("n", "node").limit(MOST)
     frequent = np.array([r[0] for r in often.select("node").collect()], np.int64).view(np.uint64)
-    lists = materialize(_lists(_index(base, words, least, frequent)), "similar-lists")
+    lists = written(_lists(_index(base, words, least, frequent)), "similar-lists")
     t, over = least.numerator, least.numerator + least.denominator
     # similar sets of n and m elements share t / (1 + t) of n + m; from the places p and q on they share n - p or m - q at most
     shared = lambda left, sizes: over * left.cast("long") >= t * sizes.cast("long")
@@ -262,21 +267,21 @@ def _classes(docs: DataFrame, key: str, text: str, words: int, least: Fraction)
     stars = rooted(lists.filter("node <> center").filter(can("n", "p", "size", "place")).select(F.col("center").alias("a"), "node").distinct(), roots)
     stars = rooted(stars.select(F.col("node").alias("b"), F.col("root").alias("r"), F.col("a").alias("node")), roots).filter("root <> r").select(F.col("node").alias("a"), "b")
     best = _near(stars, sets, least).groupBy("b").agg(F.min(F.struct("differ", "a")).alias("x")).select("x.a", "b")
-    found = found.unionByName(_similar(materialize(best, "similar-near"), sets, base, words, least, "similar-stars"))
-    roots = components(found, "similar")
+    found = found.unionByName(_similar(written(best, "similar-near"), sets, base, words, least, "similar-stars", parts))
+    roots = components(found, "similar", parts)
 
     # what still meets in a list with another component
-    known = materialize(rooted(lists.select("h", "node", "n", "p"), roots), "similar-rooted")
+    known = written(rooted(lists.select("h", "node", "n", "p"), roots), "similar-rooted")
     open_ = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least")).filter("low < high").select("h", "least")
     # of a list those stay that could share enough with its smallest set, or with the smallest that could be similar
     smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * t / least.denominator))
-    meet = materialize(known.join(open_, "h").filter(shared(F.col("n") - F.col("p"), F.col("n") + smallest)).drop("least"), "similar-meet")
+    meet = written(known.join(open_, "h").filter(shared(F.col("n") - F.col("p"), F.col("n") + smallest)).drop("least"), "similar-meet")
     other = meet.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("r"))
     pairs = meet.join(other, "h").filter((F.col("root") < F.col("r")) & can("n", "p", "m", "q")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    near = materialize(_near(pairs, sets, least), "similar-near")
-    found = found.unionByName(_similar(near, sets, base, words, least, "similar-rest"))
+    near = written(_near(pairs, sets, least), "similar-near")
+    found = found.unionByName(_similar(near, sets, base, words, least, "similar-rest", parts))
 
-    roots = components(found, "similar")
+    roots = components(found, "similar", parts)
     classes = rooted(rows.groupBy("node").agg(F.min("id").alias("least")), roots)
     smallest = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.select("id", "node").join(classes.join(smallest, "root").select("node", "component_id"), "node").select(F.col("id").alias(key), "component_id")
+    return rows.select("id", "node").join(classes.join(smallest, "root").select("node", "component_id"), "node").select(F.col("id").alias(key), "component_id").coalesce(parts)

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from factweave.llm import similar, simhash
+from factweave.llm.common import materialize
 
 from .data import DOCS, documents
 
@@ -79,3 +80,32 @@ def test_the_stage_drops_what_fingerprints_miss(spark):
     df = spark.createDataFrame(rows, DOCS)
     assert simhash.one_of_each(df).count() > 1
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()] == [0]
+
+
+def test_few_documents_make_few_files(spark, monkeypatch):
+    """However many partitions shuffles have; every file that a task writes costs the executor processes on a local file system."""
+    files, settings = {}, {"spark.sql.shuffle.partitions": "23", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+
+    def counted(df, label, *more, **named):
+        out = materialize(df, label, *more, **named)
+        files[label] = max(len(out.inputFiles()), files.get(label, 0))
+        return out
+
+    monkeypatch.setattr(similar, "materialize", counted)
+    monkeypatch.setattr(simhash, "materialize", counted)
+    before = {k: spark.conf.get(k) for k in settings}
+    texts = edited()
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {r.doc_id: r.component_id for r in similar.near_duplicates(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    least = {}
+    for i, root in enumerate(found := components(texts)):
+        least.setdefault(root, i)
+    assert got == {i: least[root] for i, root in enumerate(found)}
+    assert {"similar-edges", "similar-lists", "similar-nodes", "similar-rest-links"} <= files.keys()
+    assert all(n <= 1 for label, n in files.items() if label != "similar-sets"), files
