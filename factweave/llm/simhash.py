@@ -15,7 +15,8 @@ until a part holds LEAF fingerprints; what agrees in the half goes on by the dis
 the pairs are exact: a fingerprint is compared with those that the triangle bound to one more vantage
 point leaves, on all 64 bits. A part emits a spanning forest of its links, never all pairs, and what
 is linked already is not compared again; a group of thousands of near copies costs one pass.
-Components then form by alternating large-star and small-star steps over tables in the shared folder.
+Components of up to HELD edges are found on the driver; those of more form by alternating large-star and small-star
+steps over tables in the shared folder.
 
 Defined cases: a text without words has fingerprint zero and links like any other; null counts as
 empty; a null doc_id takes part but is never the smallest unless the whole component has none; rows with one
@@ -39,6 +40,8 @@ LEAF, SHARD = 2048, 16_384
 MAX_SHARDS = 1 << 13
 #: Keys that are sent to all tasks at most.
 SENT = 2_000_000
+#: Edges whose components the driver finds at most.
+HELD = 1_000_000
 RADIUS = 3
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -288,13 +291,31 @@ def links(prints: DataFrame) -> DataFrame:
     return dealt.mapInArrow(within, "a long, b long").distinct()
 
 
+def joined(u: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+    """The nodes of the edges (u, v) in order, and the smallest node of the component of each."""
+    names, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    up = list(range(len(names)))
+    for x, y in zip(at[: len(u)].tolist(), at[len(u) :].tolist()):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        up[max(x, y)] = min(x, y)
+    for x in range(len(up)):  # what is above has a smaller number, so it is at its root already
+        up[x] = up[up[x]]
+    return [names, names[up]]
+
+
 def components(edges: DataFrame, label: str = "simhash", parts: int | None = None) -> DataFrame:
     """(node, root): the smallest node of the component of every node that edges (a, b) touch.
 
-    Alternates large-star and small-star steps; stops when a round of both changes no edge.
+    Few edges go to the driver. Others alternate large-star and small-star steps, until a round of both changes no edge.
     """
     high, low = F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     now = materialize(edges.filter("a <> b").select(high, low).distinct(), f"{label}-edges", parts=parts)
+    if 0 < now.count() <= HELD:
+        found = pa.table(joined(*(c.to_numpy() for c in now.toArrow().columns)), names=["node", "root"])
+        return materialize(edges.sparkSession.createDataFrame(found), f"{label}-roots", parts=1)
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))

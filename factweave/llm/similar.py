@@ -9,8 +9,9 @@ these prefixes holds every pair. The order puts frequent shingles last, which de
 a passage that many texts share then stands in no prefix, unless it makes up most of the text.
 
 Large groups don't become all their pairs: first every node is compared with its nearest smallest
-node of a list; what is in one component by then needs no further comparison, and only nodes of different
-components that meet in a list are compared. A pair first passes bounds that no similar pair fails: what stands before
+node of a list, then, while lists are long, in rounds with some drawn from its lists; what is in one component by then
+needs no further comparison. Of the nodes of different components that meet in a list all pairs are compared, in the task that
+holds the list or two blocks of it; only those that the bounds leave become rows. A pair first passes bounds that no similar pair fails: what stands before
 the shared hash in either set can't be shared if it is the first shared one, so it tells how much can be (a
 large group whose texts each have too much of their own drops out of its lists so, before any pair is
 made); parity sketches differ in at most as many cells as the sets do in elements. Then the exact count on
@@ -46,6 +47,11 @@ ROWS = 500
 PER_FILE = 5_000
 #: Cells of a sketch at least.
 CELLS = 128
+#: Rounds in which nodes of lists that hold over LONG nodes, weighted by their nodes, meet others, at most; others that a
+#: node meets in a round. They decide the speed only.
+DRAWS, LONG, CENTERS = 12, 50, 8
+#: Nodes of a list that meet in a task, on average; pairs that are compared at a time.
+BLOCK, PAIRS = 2048, 100_000
 #: Names of texts that are sent to the tasks that read them; more of them meet in a shuffle.
 SENT = 2_000_000
 
@@ -205,6 +211,89 @@ def _near(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "n", "m", "s", "t").mapInArrow(near, "a long, b long, differ long")
 
 
+def _across(meet: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """(a, b): the pairs of different roots that the bounds leave, out of the lists (h, node, n, p, root).
+
+    Lists meet in tasks, long ones in pairs of blocks. A pair comes out of the first list that holds both, so it comes once and no
+    further pairs are made: its entries bring the hashes that stand before them in other lists.
+    """
+    p, q = least.numerator, least.denominator
+
+    def pairs(n, place, root, left, right):
+        """Rows and columns of those of left x right that can be similar by their places in the list."""
+        for at in range(0, len(left), 256):
+            x, y = np.ix_(left[at : at + 256], right)
+            both = np.minimum(n[x] - place[x], n[y] - place[y])
+            can = (root[x] != root[y]) & ((p + q) * both >= p * (n[x] + n[y])) & (q * np.minimum(n[x], n[y]) >= p * np.maximum(n[x], n[y]))
+            if left is right:
+                can &= x < y
+            i, j = np.nonzero(can)
+            yield left[at : at + 256][i], right[j]
+
+    def near(rows: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        node, n, place, root, low, block = (rows.column(name).to_numpy() for name in ("node", "n", "p", "root", "low", "block"))
+        n, place, sketches, before, held = n.astype(np.int64), place.astype(np.int64), rows.column("s").to_pylist(), {}, []
+        known = rows.column("before").combine_chunks()
+        starts, hashes = known.offsets.to_numpy(), known.values.to_numpy()
+
+        def earlier(i):
+            if i not in before:
+                before[i] = frozenset(hashes[starts[i] : starts[i + 1]].tolist())
+            return before[i]
+
+        def checked():
+            x, y = (np.concatenate([h[k] for h in held]) for k in (0, 1))
+            held.clear()
+            for at in range(0, len(x), PAIRS):
+                i, j = x[at : at + PAIRS], y[at : at + PAIRS]
+                differ = differing([sketches[k] for k in i.tolist()], [sketches[k] for k in j.tolist()])
+                stay = (q + p) * differ <= (q - p) * (n[i] + n[j])
+                i, j = i[stay], j[stay]
+                first = np.fromiter((earlier(k).isdisjoint(earlier(m)) for k, m in zip(i.tolist(), j.tolist())), bool, len(i))
+                one, two = node[i[first]], node[j[first]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, two)), pa.array(np.maximum(one, two))], names=["a", "b"])
+
+        size = 0
+        for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            own, other = (np.arange(start, end)[side] for side in (block[start:end] == low[start:end], block[start:end] != low[start:end]))
+            for found in pairs(n, place, root, own, other if rows.column("high")[start].as_py() != low[start] else own):
+                held.append(found)
+                size += len(found[0])
+                if size > PAIRS:
+                    yield from checked()
+                    size = 0
+        if held:
+            yield from checked()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([rest, rows]).combine_chunks() if rest else rows
+            keys = [rows.column(name).to_numpy() for name in ("h", "low", "high")]
+            cuts = np.concatenate([[0], np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1])
+            if len(cuts) > 1:  # the last list may go on
+                yield from near(rows.slice(0, cuts[-1]).combine_chunks(), cuts)
+            rest = rows.slice(cuts[-1]).combine_chunks()
+        if rest:
+            yield from near(rest, np.array([0, rest.num_rows]))
+
+    own = meet.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.sort_array(F.collect_list(F.struct("p", "h"))).alias("x")).join(sets.select("node", "s"), "node")
+    each = own.select("node", "n", "root", "s", F.col("x.h").alias("hs"), F.posexplode("x").alias("at", "x"))
+    each = each.select("node", "n", "root", "s", "x.h", "x.p", F.slice("hs", 1, F.col("at")).alias("before"))
+    long_ = meet.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > BLOCK)
+    block, low, high = F.lit(0).alias("block"), F.lit(0).alias("low"), F.lit(0).alias("high")
+    if long_.count():
+        blocks = F.coalesce(F.ceil(F.col("k") / BLOCK), F.lit(1)).cast("int")
+        each = each.join(long_, "h", "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+        each = each.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        block, low, high = F.col("block"), F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    dealt = each.select("h", low, high, block, "node", "n", "p", "root", "s", "before").repartition("h", "low", "high").sortWithinPartitions("h", "low", "high")
+    return dealt.mapInArrow(work, "a long, b long")
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, least: Fraction, label: str, parts: int) -> DataFrame:
     """Those of the written pairs (a, b) that are similar, by their texts."""
     p, q = least.numerator, least.denominator
@@ -271,14 +360,32 @@ def _classes(docs: DataFrame, key: str, text: str, words: int, least: Fraction)
     roots = components(found, "similar", parts)
 
     # what still meets in a list with another component
-    known = written(rooted(lists.select("h", "node", "n", "p"), roots), "similar-rooted")
-    open_ = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least")).filter("low < high").select("h", "least")
-    # of a list those stay that could share enough with its smallest set, or with the smallest that could be similar
-    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * t / least.denominator))
-    meet = written(known.join(open_, "h").filter(shared(F.col("n") - F.col("p"), F.col("n") + smallest)).drop("least"), "similar-meet")
-    other = meet.select("h", F.col("node").alias("b"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("root").alias("r"))
-    pairs = meet.join(other, "h").filter((F.col("root") < F.col("r")) & can("n", "p", "m", "q")).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    near = written(_near(pairs, sets, least), "similar-near")
+    def meeting(roots: DataFrame) -> DataFrame:
+        known = written(rooted(lists.select("h", "node", "n", "p"), roots), "similar-rooted")
+        open_ = known.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("n").alias("least")).filter("low < high").select("h", "least")
+        # of a list those stay that could share enough with its smallest set, or with the smallest that could be similar
+        smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * t / least.denominator))
+        return written(known.join(open_, "h").filter(shared(F.col("n") - F.col("p"), F.col("n") + smallest)).drop("least"), "similar-meet")
+
+    meet = meeting(roots)
+    # a large group first joins by rounds in which each node meets some others of its lists, drawn anew
+    for draw in range(DRAWS):
+        held = meet.groupBy("h").agg(F.count(F.lit(1)).cast("double").alias("k")).agg(F.sum("k"), F.sum(F.col("k") * F.col("k")))
+        (entries, squares), nodes = held.first(), meet.agg(F.count_distinct("node")).first()[0]
+        if not nodes or squares <= LONG * entries:
+            break
+        some = meet.filter(F.pmod(F.xxhash64("h", F.lit(draw)), F.lit(max(1, int(entries) // (CENTERS * nodes)))) == 0)
+        drawn = some.groupBy("h").agg(F.min_by(F.struct("node", "n", "p", "root"), F.xxhash64("h", "node", F.lit(draw))).alias("c"))
+        drawn = drawn.select("h", F.col("c.node").alias("a"), F.col("c.n").alias("size"), F.col("c.p").alias("place"), F.col("c.root").alias("r"))
+        tried = some.join(drawn, "h").filter((F.col("root") != F.col("r")) & can("n", "p", "size", "place")).select("a", F.col("node").alias("b")).distinct()
+        best = _near(tried, sets, least).groupBy("b").agg(F.min(F.struct("differ", "a")).alias("x")).select("x.a", "b")
+        more = _similar(written(best, "similar-near"), sets, base, words, least, "similar-drawn", parts)
+        found = found.unionByName(more)
+        roots = components(found, "similar", parts)
+        meet = meeting(roots)
+        if more.count() * 50 < nodes:
+            break
+    near = written(_across(meet, sets, least), "similar-near")
     found = found.unionByName(_similar(near, sets, base, words, least, "similar-rest", parts))
 
     roots = components(found, "similar", parts)

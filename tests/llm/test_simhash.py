@@ -115,3 +115,20 @@ def test_one_of_each_keeps_columns(spark):
 
 def test_empty(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
+@pytest.mark.parametrize("held", [0, 10**6])
+def test_components_of_few_edges_write_few_tables(spark, monkeypatch, held):
+    rng = random.Random(8)
+    edges = [(rng.randrange(-400, 400), rng.randrange(-400, 400)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(40)] + [(7, 7)]
+    tables, write = [], simhash.materialize
+    monkeypatch.setattr(simhash, "materialize", lambda df, label, **more: tables.append(label) or write(df, label, **more))
+    monkeypatch.setattr(simhash, "HELD", held, raising=False)
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    assert got == root
+    assert len(tables) <= 2 or not held

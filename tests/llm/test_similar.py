@@ -109,3 +109,38 @@ def test_few_documents_make_few_files(spark, monkeypatch):
     assert got == {i: least[root] for i, root in enumerate(found)}
     assert {"similar-edges", "similar-lists", "similar-nodes", "similar-rest-links"} <= files.keys()
     assert all(n <= 1 for label, n in files.items() if label != "similar-sets"), files
+
+
+@pytest.mark.parametrize("block", [7, 10**6])
+def test_a_large_group_is_not_joined_pair_by_pair(spark, monkeypatch, block):
+    """Variants of one text, about as often similar as not: their pairs are compared in the tasks, in blocks if a list is long."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(9000)}" for _ in range(150)]
+    texts = []
+    for i in range(160):
+        mine = list(words)
+        for at in rng.sample(range(150), rng.choice([1, 2, 3, 4])):
+            mine[at] = f"x{rng.randrange(9000)}"
+        texts.append(" ".join(mine))
+    joined, near, made, exact = [], similar._near, [], similar._similar
+
+    def counted(pairs, *more):
+        joined.append(pairs.count())
+        return near(pairs, *more)
+
+    def seen(pairs, *more):
+        made.extend((r.a, r.b) for r in pairs.collect() if more[-2] == "similar-rest")
+        return exact(pairs, *more)
+
+    monkeypatch.setattr(similar, "_near", counted)
+    monkeypatch.setattr(similar, "_similar", seen)
+    monkeypatch.setattr(similar, "DRAWS", 0 if block == 7 else 1, raising=False)
+    monkeypatch.setattr(similar, "BLOCK", block, raising=False)
+    monkeypatch.setattr(similar, "PAIRS", 100, raising=False)
+    got = {r.doc_id: r.component_id for r in similar.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    least = {}
+    for i, root in enumerate(found := components(texts)):
+        least.setdefault(root, i)
+    assert got == {i: least[root] for i, root in enumerate(found)}
+    assert made and len(made) == len(set(made))
+    assert sum(joined) < 10 * len(texts), joined
