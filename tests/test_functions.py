@@ -151,3 +151,11 @@ def test_sampling_is_seeded():
         state = (state ^ (state << 5)) & 0xFFFFFFFF
         assert next(first) == abs(state - (1 << 32) if state >> 31 else state) / 2**31
     assert json.dumps(numbers.sample_order(4, 42))
+
+
+def test_l2_normalise_measures_a_vector_once(spark):
+    """The length belongs to the row: inside the lambda it would be summed again for every figure."""
+    lengths = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("aggregate(")
+    rows = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>")
+    out = rows.select(vectors.l2_normalise(F.col("v")).alias("v"))
+    assert lengths(out) == 1 and [r.v for r in out.collect()] == [[0.6, 0.8], [0.0, 0.0]]
