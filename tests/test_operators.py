@@ -49,6 +49,26 @@ def test_neighbours(spark, monkeypatch, strategy, scope, k, t):
     assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-8 for p in want)
 
 
+@pytest.mark.parametrize("scope", ["intra", "cross"])
+def test_equal_vectors_leave_k_partners_of_each(spark, scope):
+    rows = [(i, i % 2, [1.0, 2.0]) for i in range(60)]
+    units = neighbours.unit_vectors(spark.createDataFrame(rows, "id long, doc long, v array<double>"), "id", "doc", "v")
+    near = {(r.a_id, r.b_id) for r in neighbours._block(units, scope, 3, 0.5).collect()}
+    other = lambda i: [j for j in range(60) if j != i and (j % 2 == i % 2) == (scope == "intra")]
+    assert near == {(i, j) for i in range(60) for j in other(i)[:3]}
+
+
+@pytest.mark.parametrize("scope", ["intra", "cross"])
+def test_vectors_are_shuffled_once(spark, monkeypatch, scope):
+    monkeypatch.setattr(neighbours, "BLOCK", 4)
+    rows = [(f"v{i}", i // 40 if i < 200 else None, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(210)]
+    units = neighbours.unit_vectors(spark.createDataFrame(rows, "id string, doc long, v array<double>"), "id", "doc", "v")
+    near = neighbours._block(units, scope, 3, 0.5)
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+    key = lambda df: {(r.a_id, r.b_id) for r in df.withColumn("n", F.expr("row_number() over (partition by a_id order by round(sim, 9) desc, b_id)")).filter("n <= 3").collect()}
+    assert key(near) == key(neighbours._sql(units, scope, 3, 0.5))
+
+
 def test_lsh_finds_most_and_invents_nothing(spark):
     rows = vectors()
     out = neighbours.neighbours(spark.createDataFrame(rows, "id long, document_id long, embedding array<double>"), "cross", 12, 0.9, strategy="lsh")
