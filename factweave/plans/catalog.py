@@ -116,11 +116,25 @@ FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partk
 )
 def label_pairs(spark, sf_dir):
     """Labels of one brand and size: same tokens, subsumption, and sameness of the measurement they would name."""
-    rows = _labelled(spark, sf_dir).select("p_brand", "p_size", "p_partkey", "label", t.quantity(F.lit(1.0), F.lit("BLEU"), F.lit("m"), F.col("label")).alias("q"))
-    side = lambda s: rows.select("p_brand", "p_size", F.col("p_partkey").alias(f"{s}_key"), F.col("label").alias(f"{s}_label"), F.col("q").alias(f"{s}_q"))
-    pairs = side("a").join(side("b"), ["p_brand", "p_size"]).filter("a_key < b_key")
-    a, b = F.col("a_label"), F.col("b_label")
-    return pairs.select("a_key", "b_key", measure.same_tokens(a, b).alias("same"), measure.subsumes(a, b).alias("subsumed"), measure.same_measurement(F.col("a_q"), F.col("b_q")).alias("comparable"))
+    return _label_pairs(_labelled(spark, sf_dir).select("p_brand", "p_size", "p_partkey", "label"), 4 * spark.sparkContext.defaultParallelism)
+
+
+def _label_pairs(rows: DataFrame, parts: int) -> DataFrame:
+    """Rows of equal labels are one entry with a list of keys: two labels are compared once, then their keys are paired.
+
+    The number of parts is given, as the labels are few bytes that would end up in one task while their pairs are many.
+    """
+    dealt = rows.filter("p_partkey is not null").repartition(parts, "p_brand", "p_size")
+    entries = dealt.groupBy("p_brand", "p_size", "label").agg(F.collect_list("p_partkey").alias("keys"))
+    q = measure.prepared(t.quantity(F.lit(1.0), F.lit("BLEU"), F.lit("m"), F.col("label")))
+    ready = entries.select("p_brand", "p_size", "keys", F.struct(F.col("label").isNull(), F.coalesce("label", F.lit(""))).alias("place"), measure.tokens(F.col("label")).alias("tokens"), q.dropFields("quantity").alias("q"))
+    side = lambda s: ready.select("p_brand", "p_size", *(F.col(c).alias(f"{s}_{c}") for c in ("keys", "place", "tokens", "q")))
+    pairs = side("a").join(side("b"), ["p_brand", "p_size"]).filter("a_place <= b_place")
+    # none of the three depends on the order of the two labels
+    x, y = F.col("a_tokens"), F.col("b_tokens")
+    judged = pairs.select("a_keys", "b_keys", (F.col("a_place") == F.col("b_place")).alias("own"), (x == y).alias("same"), measure.one_in_other(x, y).alias("subsumed"), measure.same_prepared(F.col("a_q"), F.col("b_q")).alias("comparable"))
+    paired = judged.withColumn("x", F.explode("a_keys")).drop("a_keys").withColumn("y", F.explode("b_keys")).filter("if(own, x < y, x <> y)")
+    return paired.select(F.least("x", "y").alias("a_key"), F.greatest("x", "y").alias("b_key"), "same", "subsumed", "comparable")
 
 
 @query("SELECT l_orderkey, l_linenumber, " + _ULP.format(v="l_extendedprice") + " AS half_ulp, " + _ULP.format(v="l_discount") + " AS half_ulp_discount FROM lineitem")

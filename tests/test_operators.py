@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from factweave import cli, config, report, schemas
+from factweave.functions import measure
 from factweave.operators import calls, detect, evaluate, extract, meter, mutate, neighbours, passages, refine
+from factweave.plans import catalog
 from factweave.sources import bundles, ids, keyed, latex
 from factweave.streaming import ingest
 
@@ -82,6 +84,21 @@ def test_baseline(spark):
     assert tuple(neighbours.baseline(spark.createDataFrame([], "document_id int")).first()) == (0, 0, 0, 0, 0)
 
 
+# --- the queries' own steps -------------------------------------------------------------------------
+
+
+def test_labels_of_equal_words_are_compared_once(spark):
+    """The result of the pairwise functions, however many rows share a label; the comparison sees labels, not rows."""
+    labels = ["WMT14 En-De test", "wmt 2014 EN-DE TEST", "test", "dev", "", None]
+    rows = spark.createDataFrame([("b", i % 2, None if i == 30 else i, labels[i % 6 if i < 24 else 0]) for i in range(40)] + [("b", 1, 7, "dev")], "p_brand string, p_size int, p_partkey long, label string")
+    out = catalog._label_pairs(rows, 3)
+    side = lambda s: rows.select("p_brand", "p_size", F.col("p_partkey").alias(f"{s}_key"), F.col("label").alias(f"{s}_label"), catalog.t.quantity(F.lit(1.0), F.lit("BLEU"), F.lit("m"), F.col("label")).alias(f"{s}_q"))
+    pairs = side("a").join(side("b"), ["p_brand", "p_size"]).filter("a_key < b_key")
+    a, b = F.col("a_label"), F.col("b_label")
+    want = pairs.select("a_key", "b_key", measure.same_tokens(a, b), measure.subsumes(a, b), measure.same_measurement(F.col("a_q"), F.col("b_q")))
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
 # --- detection ---------------------------------------------------------------------------------
 
 
