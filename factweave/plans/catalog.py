@@ -38,6 +38,10 @@ def _conflict_sql(a: str, b: str) -> str:
     return f"CASE WHEN {magnitude} > 0 AND {difference} > {_ULP.format(v=a)} + {_ULP.format(v=b)} AND {difference} / {magnitude} >= 0.005 THEN {difference} / {magnitude} END"
 
 
+#: Lines that a task sorts at a time.
+LINES = 500_000
+
+
 @query(
     f"""
 WITH p AS (
@@ -54,16 +58,28 @@ FROM p WHERE list_max(r) IS NOT NULL
 )
 def numeric_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of one part and supplier whose figures disagree: the largest disagreement of each pair."""
-    claims = t.line_claims(spark, sf_dir)
-    ready = F.struct("claim_type", measure.prepared_list(F.col("quantities")).alias("ready"))
-    claims = written(claims.select("l_partkey", "l_suppkey", "line", ready.alias("claim")), "line-claims")  # prepared once per claim
-    side = lambda s: claims.select("l_partkey", "l_suppkey", F.col("line").alias(f"{s}_line"), F.col("claim").alias(s))
-    pairs = side("a").join(side("b"), ["l_partkey", "l_suppkey"]).filter("a_line < b_line")
+    lines, parts = t.read(spark, sf_dir, "lineitem"), t.read(spark, sf_dir, "part")
+    pairs = _line_pairs(lines, parts, max(spark.sparkContext.defaultParallelism, -(-lines.count() // LINES)))
     hits = detect.conflicts(detect.type_compatible(pairs).filter("survived_type_filter")).filter("best is not null")
     r = F.col("best.r")
     return hits.select("a_line", "b_line", F.col("best.x.metric").alias("metric"), F.round(r, 6).alias("relative_difference"), F.round(measure.confidence(r), 6).alias("confidence"), "compared")
 
 
+def _line_pairs(lines: DataFrame, parts: DataFrame, dealt: int) -> DataFrame:
+    """(a_line, b_line, a, b): only keys and figures are shuffled, and only lines with a partner become claims, each once."""
+    key = ["l_partkey", "l_suppkey"]
+    line = F.struct((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), *t.LINE_FIGURES)
+    bare = lines.select(*key, line.alias("l")).filter("l_partkey is not null and l_suppkey is not null and l.line is not null").select(*key, "l.*").repartition(dealt, *key)
+    met = bare.withColumn("n", F.expr("count(*) over (partition by l_partkey, l_suppkey)")).filter("n > 1")
+    lists = met.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("line", *t.LINE_FIGURES))).alias("ls"))
+    named = lists.join(parts.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    claim = lambda x: F.struct(x["line"].alias("line"), F.lit("NUMERIC").alias("claim_type"), measure.prepared_list(t.line_quantities(x, F.col("p_name"), F.col("l_suppkey"))).alias("ready"))
+    claims = named.select(F.transform("ls", claim).alias("claims"))
+    first = claims.select("claims", F.posexplode("claims").alias("i", "a")).select("a", F.slice("claims", F.col("i") + 2, F.size("claims")).alias("later"))
+    pairs = first.select("a", F.explode("later").alias("b")).filter("a.line < b.line")
+    return pairs.select(F.col("a.line").alias("a_line"), F.col("b.line").alias("b_line"), "a", "b")
+
+
 _UNITS = [" % ", "pct", "Percentage", "accuracy", "BLEU score", "bleu points", "FLOP", "petaflop/s-days", "B", "m", "K", "GPUs", "days", "Hours", "tokens", "parameters", "parameter", "widget", ""]
 
 

@@ -19,15 +19,13 @@ def quantity(value, metric, system, dataset, unit=None):
     ).cast(QUANTITY)
 
 
-def line_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A claim per line item: its discount, tax, quantity and price, of a part (system) by a supplier (dataset)."""
-    rows = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    system, dataset = F.col("p_name"), F.concat(F.lit("supplier "), F.col("l_suppkey").cast("string"), F.lit(" test"))
-    metrics = (("l_discount", "Discount"), ("l_tax", "Tax rate"), ("l_quantity", "Quantity"), ("l_extendedprice", "Price"))
-    return rows.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax").alias("id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "l_partkey", "l_suppkey", F.lit("NUMERIC").alias("claim_type"),
-        F.array(*(quantity(F.col(c), F.lit(m), system, dataset) for c, m in metrics)).alias("quantities"),
-    )
+LINE_FIGURES = ("l_discount", "l_tax", "l_quantity", "l_extendedprice")
+
+
+def line_quantities(line, part, supplier):
+    """A line item's claim: its discount, tax, quantity and price, of a part (system) by a supplier (dataset)."""
+    dataset = F.concat(F.lit("supplier "), supplier.cast("string"), F.lit(" test"))
+    return F.array(*(quantity(line[c], F.lit(m), part, dataset) for c, m in zip(LINE_FIGURES, ("Discount", "Tax rate", "Quantity", "Price"))))
 
 
 def vector_claims(spark: SparkSession, sf_dir: str) -> DataFrame:

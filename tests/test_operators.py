@@ -99,6 +99,19 @@ def test_labels_of_equal_words_are_compared_once(spark):
     assert sorted(map(tuple, out.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 
 
+def test_only_lines_with_a_partner_become_claims(spark):
+    row = lambda order, line, part, supplier, price: (order, line, part, supplier, 1.0, price, 0.05, 0.02)
+    rows = [row(i, 1, i, 1, 10.0) for i in range(50)] + [row(90, 1, 7, 2, 10.0), row(91, 1, 7, 2, 20.0), row(92, 2, 7, 2, 10.0), row(93, 1, None, 2, 1.0), row(94, 1, None, 2, 2.0), row(95, 1, 99, 2, 1.0), row(96, 1, 99, 2, 2.0)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double")
+    parts = spark.createDataFrame([(i, f"part {i}") for i in range(50)], "p_partkey long, p_name string")
+    pairs = catalog._line_pairs(lines, parts, 3)
+    found = {(r.a_line, r.b_line): (r.compared, r.best and r.best.r) for r in detect.conflicts(pairs).collect()}
+    assert found == {(901, 911): (4, 0.5), (901, 922): (4, None), (911, 922): (4, 0.5)}
+    # what is shuffled by line has keys and figures, no labels
+    below = [node.partition("LogicalRDD")[0] for node in pairs._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1:]]
+    assert len(below) == 1 and "l_suppkey" in below[0] and "p_name" not in below[0] and "transform" not in below[0]
+
+
 # --- detection ---------------------------------------------------------------------------------
 
 
