@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import first_tag, one_line, trim_all, unescape_xml
 
 # The two shapes of an identifier and the prefixes people write before one.
@@ -36,17 +37,27 @@ def abs_url(id_with_version: Column) -> Column:
 def metadata(atom: Column, id_: Column, version: Column) -> Column:
     """STRUCT<id, version, title, published, updated, error> of a feed's first entry."""
     entry = F.when(atom.rlike(r"<entry>[\s\S]*?</entry>"), F.regexp_extract(atom, r"<entry>([\s\S]*?)</entry>", 1))
-    resolved = F.coalesce(version, F.regexp_extract(trim_all(first_tag(entry, "id")), r"v(\d+)$", 1).try_cast("int"))
-    title = first_tag(entry, "title")
-    error = (
-        F.when(entry.isNull(), "no entry")
-        .when(entry.contains("<title>Error</title>"), F.concat(F.lit("error: "), F.coalesce(trim_all(first_tag(entry, "summary")), F.lit(""))))
-        .when(resolved.isNull() | (resolved < 1), "no version")
-        .when(F.coalesce(title, F.lit("")) == "", "no title")
-    )
-    good = lambda c: F.when(error.isNull(), c)
-    return F.struct(
-        id_.alias("id"), good(resolved).alias("version"), good(one_line(unescape_xml(title))).alias("title"),
-        good(F.coalesce(trim_all(first_tag(entry, "published")), F.lit(""))).alias("published"),
-        good(F.coalesce(trim_all(first_tag(entry, "updated")), F.lit(""))).alias("updated"), error.alias("error"),
-    )
+
+    def fields(e: Column) -> Column:
+        resolved = F.coalesce(version, F.regexp_extract(trim_all(first_tag(e, "id")), r"v(\d+)$", 1).try_cast("int"))
+        return let(F.struct(e.alias("entry"), resolved.alias("version"), first_tag(e, "title").alias("title")), checked)
+
+    def checked(m: Column) -> Column:
+        e = m["entry"]
+        error = (
+            F.when(e.isNull(), "no entry")
+            .when(e.contains("<title>Error</title>"), F.concat(F.lit("error: "), F.coalesce(trim_all(first_tag(e, "summary")), F.lit(""))))
+            .when(m["version"].isNull() | (m["version"] < 1), "no version")
+            .when(F.coalesce(m["title"], F.lit("")) == "", "no title")
+        )
+        return let(error, lambda why: row(m, why))
+
+    def row(m: Column, error: Column) -> Column:
+        good = lambda c: F.when(error.isNull(), c)
+        return F.struct(
+            id_.alias("id"), good(m["version"]).alias("version"), good(one_line(unescape_xml(m["title"]))).alias("title"),
+            good(F.coalesce(trim_all(first_tag(m["entry"], "published")), F.lit(""))).alias("published"),
+            good(F.coalesce(trim_all(first_tag(m["entry"], "updated")), F.lit(""))).alias("updated"), error.alias("error"),
+        )
+
+    return let(entry, fields)

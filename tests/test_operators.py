@@ -528,6 +528,14 @@ def test_ids_and_metadata(spark):
     assert [r.m.error for r in rows[1:]] == ["no entry", "error: bad", "no version", "no title"]
 
 
+def test_a_feed_is_read_once_per_field(spark):
+    """The parts of a feed are bound, so that its plan names each pattern a few times only, not once per use of the entry."""
+    rows = spark.createDataFrame([("<feed/>",)], "f string").select(ids.metadata(F.col("f"), F.lit("x"), F.lit(None).cast("int")).alias("m"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.first().m.error == "no entry" and plan.count("<entry>") <= 2 and plan.count("<title[^>]*>") <= 2
+
+
+
 def test_bundles(spark):
     tar = io.BytesIO()
     with tarfile.open(fileobj=tar, mode="w") as t:
